@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from cityloom.llm.mixing import op4_mix_sources
 from cityloom.llm.sharding import op3_ring_shards
 
 QUERIES = {
     "op3_ring_shards": op3_ring_shards,
+    "op4_mix_sources": op4_mix_sources,
 }
 
 ORACLE_SQL: dict[str, str] = {}
