@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from cityloom.llm.mixing import op4_mix_sources
+from cityloom.llm.packing import op2_pack_best_fit
 from cityloom.llm.sharding import op3_ring_shards
 
 QUERIES = {
+    "op2_pack_best_fit": op2_pack_best_fit,
     "op3_ring_shards": op3_ring_shards,
     "op4_mix_sources": op4_mix_sources,
 }
