@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from cityloom.llm.mixing import op4_mix_sources
 from cityloom.llm.packing import op2_pack_best_fit
+from cityloom.llm.secrets import op10_secret_scan
 from cityloom.llm.sharding import op3_ring_shards
+from cityloom.llm.warc import op1_warc_packages
 
 QUERIES = {
+    "op1_warc_packages": op1_warc_packages,
     "op2_pack_best_fit": op2_pack_best_fit,
     "op3_ring_shards": op3_ring_shards,
     "op4_mix_sources": op4_mix_sources,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
