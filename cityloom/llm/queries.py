@@ -6,6 +6,7 @@ from cityloom.llm.mixing import op4_mix_sources
 from cityloom.llm.packing import op2_pack_best_fit
 from cityloom.llm.secrets import op10_secret_scan
 from cityloom.llm.sharding import op3_ring_shards
+from cityloom.llm.toxicity import op5_toxicity
 from cityloom.llm.warc import op1_warc_packages
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_pack_best_fit": op2_pack_best_fit,
     "op3_ring_shards": op3_ring_shards,
     "op4_mix_sources": op4_mix_sources,
+    "op5_toxicity": op5_toxicity,
     "op10_secret_scan": op10_secret_scan,
 }
 
