@@ -39,7 +39,7 @@ SKETCHES = 6
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 LEAST_ROWS, LEAST_PRECISION = 3, 0.7
 FEATURES = 4
-COVERED, CLEARER = 0.8, 1.5
+COVERED, CLEARER, LIFT = 0.8, 1.5, 4.0
 THRESHOLD = 0.3
 WORD_CACHE = 400_000
 
@@ -295,6 +295,8 @@ def features(n: int, counts: dict[str, float], rates: dict[str, float]) -> list[
     """How far the terms' counts exceed what clean texts of n words have (Poisson deviance): in sum, at most, squared, in how many terms."""
     over = []
     for term, c in counts.items():
+        if term not in rates:
+            continue
         usual = rates[term] * (n + 20)
         if c > usual:
             over.append(c * math.log(c / usual) - c + usual)
@@ -358,11 +360,13 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     if ignored:
         sample = sampled(ignored)
     rows.unpersist()
-    clean, usual = sum(r["n"] for r in sample if not r["toxic"]), Counter()
+    words, seen = [0, 0], (Counter(), Counter())
     for r in sample:
-        if not r["toxic"]:
-            usual.update({x["term"]: x["c"] for x in r["counts"]})
-    rates = {t: (usual[t] + 0.5) / (clean + 1) for t in terms}
+        words[r["toxic"]] += r["n"]
+        seen[r["toxic"]].update({x["term"]: x["c"] for x in r["counts"]})
+    rates = {t: (seen[0][t] + 0.5) / (words[0] + 1) for t in terms}
+    # a beginning whose toxic words all match better terms is left with words that say nothing
+    rates = {t: rate for t, rate in rates.items() if (seen[1][t] + 0.5) / (words[1] + 1) >= LIFT * rate}
     x = np.array([features(r["n"], {c["term"]: c["c"] for c in r["counts"]}, rates) for r in sample])
     return Model(terms, ignored, rates, logistic(x, np.array([r["toxic"] for r in sample], float)).tolist(), n1 / (n1 + n0))
 
