@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cityloom.llm.jaccard import op7_jaccard_join
 from cityloom.llm.mixing import op4_mix_sources
 from cityloom.llm.packing import op2_pack_best_fit
 from cityloom.llm.secrets import op10_secret_scan
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_ring_shards": op3_ring_shards,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
+    "op7_jaccard_join": op7_jaccard_join,
     "op10_secret_scan": op10_secret_scan,
 }
 
