@@ -7,6 +7,7 @@ from cityloom.llm.mixing import op4_mix_sources
 from cityloom.llm.packing import op2_pack_best_fit
 from cityloom.llm.secrets import op10_secret_scan
 from cityloom.llm.sharding import op3_ring_shards
+from cityloom.llm.substrings import op8_repeated_windows
 from cityloom.llm.toxicity import op5_toxicity
 from cityloom.llm.warc import op1_warc_packages
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_repeated_windows": op8_repeated_windows,
     "op10_secret_scan": op10_secret_scan,
 }
 
