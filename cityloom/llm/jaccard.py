@@ -300,9 +300,13 @@ def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near copies: that with the least doc_id."""
-    kept = jaccard_components(docs, width, percent).where("doc_id = component_id").select("doc_id", F.col("n_shingles").alias("_n")).distinct()
-    return docs.join(kept.select("doc_id").distinct(), "doc_id").select(*docs.columns)
+    """docs with one document of each group of near copies: that with the least doc_id, once. Rows without doc_id all stay."""
+    gone = jaccard_components(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
+        nth = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.length("text")))
+        left = left.withColumn("_nth", nth).where("_nth = 1 or doc_id is null").drop("_nth")
+    return left.select(*docs.columns)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

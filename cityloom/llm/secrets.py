@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,12 +120,16 @@ MASK = "[secret]"
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by MASK; overlapping spans by one. n_chars, where there, is of the new text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         novelty = Novelty()
-        for df in batches:
-            yield df.assign(text=[t if t is None else masked(t, base := base_spans(t), novel_spans(t, base, novelty)) for t in df["text"]])
-
-    out = docs.mapInPandas(run, docs.schema)
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = [t if t is None else masked(t, base := base_spans(t), novel_spans(t, base, novelty)) for t in batch.column(at).to_pylist()]
+            columns = batch.columns
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -385,6 +386,18 @@ def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the rows that the model predicts toxic, all columns as they are."""
+
+    def run(batches):
+        scorer = Scorer(model.terms, model.ignored)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            yield batch.filter(pa.array([model.score(*scorer.counts(t or "")[:2]) < THRESHOLD for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fitted(docs, table(spark, sf_dir, "labels"))
