@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cityloom.llm.embeddings import op6_multi_index
 from cityloom.llm.jaccard import op7_jaccard_join
 from cityloom.llm.mixing import op4_mix_sources
 from cityloom.llm.packing import op2_pack_best_fit
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_ring_shards": op3_ring_shards,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
+    "op6_multi_index": op6_multi_index,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_repeated_windows": op8_repeated_windows,
     "op10_secret_scan": op10_secret_scan,
