@@ -6,6 +6,7 @@ from cityloom.llm.embeddings import op6_multi_index
 from cityloom.llm.jaccard import op7_jaccard_join
 from cityloom.llm.mixing import op4_mix_sources
 from cityloom.llm.packing import op2_pack_best_fit
+from cityloom.llm.search import op9_top_k_search
 from cityloom.llm.secrets import op10_secret_scan
 from cityloom.llm.sharding import op3_ring_shards
 from cityloom.llm.substrings import op8_repeated_windows
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_multi_index": op6_multi_index,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_repeated_windows": op8_repeated_windows,
+    "op9_top_k_search": op9_top_k_search,
     "op10_secret_scan": op10_secret_scan,
 }
 
