@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from cityloom.plans import aggregates, spatial
+
+MODULES = [spatial, aggregates]
+
+QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for m in MODULES for name, sql in m.SQL.items()}
