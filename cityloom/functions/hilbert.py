@@ -20,9 +20,10 @@ def hilbert(x: str, y: str, bits: int = 8) -> Column:
 
 
 def hilbert_sql(table: str, x: str, y: str, bits: int = 8) -> str:
-    """The same for DuckDB, level by level."""
-    out = f"SELECT *, CAST({x} AS BIGINT) AS hx, CAST({y} AS BIGINT) AS hy, 0::BIGINT AS d FROM {table}"
+    """The same as common table expressions for DuckDB, a level each; the last is hilbert(id, place)."""
+    out = [f"h{bits} AS MATERIALIZED (SELECT id, CAST({x} AS BIGINT) AS hx, CAST({y} AS BIGINT) AS hy, 0::BIGINT AS d FROM {table})"]
     for k in reversed(range(bits)):
         s = 1 << k
-        out = f"SELECT * EXCLUDE (hx, hy, d, rx, ry), CASE WHEN ry = 1 THEN hx WHEN rx = 1 THEN {s - 1} - hy ELSE hy END AS hx, CASE WHEN ry = 1 THEN hy WHEN rx = 1 THEN {s - 1} - hx ELSE hx END AS hy, d + {s * s} * xor(3 * rx, ry) AS d FROM (SELECT *, CASE WHEN (hx & {s}) > 0 THEN 1 ELSE 0 END AS rx, CASE WHEN (hy & {s}) > 0 THEN 1 ELSE 0 END AS ry FROM ({out}))"
-    return out
+        out.append(f"""r{k} AS MATERIALIZED (SELECT *, CASE WHEN (hx & {s}) > 0 THEN 1 ELSE 0 END AS rx, CASE WHEN (hy & {s}) > 0 THEN 1 ELSE 0 END AS ry FROM h{k + 1}),
+        h{k} AS MATERIALIZED (SELECT id, CASE WHEN ry = 1 THEN hx WHEN rx = 1 THEN {s - 1} - hy ELSE hy END AS hx, CASE WHEN ry = 1 THEN hy WHEN rx = 1 THEN {s - 1} - hx ELSE hx END AS hy, d + {s * s} * xor(3 * rx, ry) AS d FROM r{k})""")
+    return ", ".join(out) + ", hilbert AS (SELECT id, CAST(d AS BIGINT) AS place FROM h0)"

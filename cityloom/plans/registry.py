@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cityloom.plans import aggregates, spatial
+from cityloom.plans import aggregates, layers, scalars, spatial
 
-MODULES = [spatial, aggregates]
+MODULES = [spatial, aggregates, scalars, layers]
 
 QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for m in MODULES for name, sql in m.SQL.items()}
