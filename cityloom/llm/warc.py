@@ -102,7 +102,7 @@ def zip_members(ranges: Ranges) -> dict[str, tuple[int, int, int, int]]:
     """name -> (place of the local header, stored size, method, crc) from the central directory."""
     tail_at = max(0, ranges.size - TAIL)
     tail = ranges.read(tail_at, ranges.size - tail_at)
-    end = tail.rfind(b"PK\5\6")
+    end = tail.rfind(b"PK\5\6", 0, max(0, len(tail) - 18))
     while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
         end = tail.rfind(b"PK\5\6", 0, end)
     if end < 0:
