@@ -29,7 +29,7 @@ def ring(spark: SparkSession, n_shards: int, vnodes: int = VNODES, cells: int =
     node = spark.range(n_shards * vnodes, numPartitions=1).select(
         F.pmod(F.xxhash64(F.lit("vnode"), "id"), F.lit(cells)).cast("int").alias("pos"),
         F.xxhash64(F.lit("tie"), "id").alias("tie"),
-        (F.col("id") % n_shards).cast("int").alias("shard"),
+        F.expr(f"cast(id div {vnodes} as int)").alias("shard"),  # a shard's nodes stay when shards are added
     )
     return node.agg(F.array_sort(F.collect_list(F.struct("pos", "tie", "shard"))).alias("ring"))
 
