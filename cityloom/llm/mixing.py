@@ -107,22 +107,26 @@ def taken_parts(docs: DataFrame, cols: list, block: int = BLOCK, most: int = MOS
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: each row of docs as often as the mix takes it, each time with just the words it takes."""
-    parts = taken_parts(docs, ["doc_id", "source"])
+    """The mix as documents: each row of docs as often as the mix takes it, each time with just the words it takes. n_chars, where
+    there, is of the new text."""
     same = ["doc_id", "print"]
     nth = W.partitionBy(*same)
-    parts = parts.select("doc_id", "print", "parts", F.row_number().over(nth.orderBy("source", "start")).alias("_nth"))
-    full = docs.withColumn("print", F.xxhash64("text"))
-    full = full.withColumn("_nth", F.row_number().over(nth.orderBy("source")))
-    met = full.join(parts.where(F.size("parts") > 0), [*same, "_nth"])
-    met = met.withColumn("_time", F.explode(F.expr("sequence(1, array_max(transform(parts, p -> p.times)))")))
-    ranges = "array_sort(filter(parts, p -> p.times >= _time))"
+    parts = taken_parts(docs, ["doc_id", "source"])
+    parts = parts.select("doc_id", "print", "parts", F.row_number().over(nth.orderBy("source", "start")).alias("nth")).where(F.size("parts") > 0)
+    # the rows travel as one column, so that no name of theirs meets one of ours
+    full = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("print"))
+    full = full.withColumn("nth", F.row_number().over(nth.orderBy("row.source"))).withColumnRenamed("doc_id", "id")
+    met = full.join(parts, F.col("id").eqNullSafe(F.col("doc_id")) & (full["print"] == parts["print"]) & (full["nth"] == parts["nth"])).select("row", "parts")
+    met = met.withColumn("time", F.explode(F.expr("sequence(1, array_max(transform(parts, p -> p.times)))")))
     word = r"'([^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*)'"
-    text = f"rtrim(array_join(flatten(transform({ranges}, p -> slice(_words, cast(p.lo + 1 as int), cast(p.hi - p.lo as int)))), ''))"
-    met = met.withColumn("_words", F.expr(f"regexp_extract_all(text, {word}, 1)")).withColumn("text", F.expr(text))
+    met = met.withColumn("words", F.expr(f"regexp_extract_all(row.text, {word}, 1)"))
+    ranges = "array_sort(filter(parts, p -> p.times >= time))"
+    text = F.expr(f"rtrim(array_join(flatten(transform({ranges}, p -> slice(words, cast(p.lo + 1 as int), cast(p.hi - p.lo as int)))), ''))")
+    met = met.withColumn("taken", text)
+    new = {"text": F.col("taken")}
     if "n_chars" in docs.columns:
-        met = met.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return met.select(*docs.columns)
+        new["n_chars"] = F.length("taken").cast(docs.schema["n_chars"].dataType)
+    return met.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
