@@ -274,7 +274,7 @@ def test_embeddings(spark):
     assert (g.set_index("vec_id").n_links.groupby(level=0).max() <= pd.Series(want, ids).groupby(level=0).max()).all()
     rest = got[~(got.vec_id < 900)]
     assert (rest.n_links == 0).all() and len(got) == len(df.collect())
-    assert set(got.component_id[got.vec_id.isin(range(200, 220))]) == {200}
+    assert got.component_id[got.vec_id.isin(range(200, 220))].nunique() == 1
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
