@@ -193,3 +193,26 @@ def test_stream_windows(spark, tmp_path):
     q.stop()
     assert spark.sql("select sum(n), count(*) from w").first()[:2] == (90, 9)
     assert refresh.first_seen(stream, "ts", "1 hour", "k").isStreaming
+
+
+def test_projection(spark):
+    from cityloom.functions.geometry import utm
+
+    df = spark.createDataFrame([(3.0, 0.0), (2.2945, 48.8583)], "lon double, lat double")
+    x, y = utm(F.col("lon"), F.col("lat"), 31)
+    (a, b) = df.select(x, y).collect()
+    assert abs(a[0] - 500_000) < 1e-3 and abs(a[1]) < 1e-3
+    assert abs(b[0] - 448_252) < 10 and abs(b[1] - 5_411_943) < 20
+
+
+def test_polygons():
+    from cityloom.functions import geometry as G
+
+    square = np.array([[0, 0], [4, 0], [4, 4], [0, 4]], float)
+    ell = np.array([[1, 1], [9, 1], [9, 3], [3, 3], [3, 9], [1, 9]], float)
+    assert G.shoelace(square) == 16 and abs(G.shoelace(G.clipped(ell, square))) == 3 * 3 - 1
+    assert G.clipped(square + 100, square).size == 0
+    assert G.holds(ell, np.array([[2, 8], [8, 8], [8, 2]], float)).tolist() == [True, False, True]
+    turn = np.array([[np.cos(0.3), -np.sin(0.3)], [np.sin(0.3), np.cos(0.3)]])
+    length, width = G.least_rectangle(np.array([[0, 0], [7, 0], [7, 2], [0, 2], [3, 1]], float) @ turn)
+    assert abs(length - 7) < 1e-9 and abs(width - 2) < 1e-9
