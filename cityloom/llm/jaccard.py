@@ -1,8 +1,10 @@
 """Op 7: n-gram Jaccard join by count-vector R-trees.
 
-A document is the set of its distinct word shingles, hashed to 64 bits. Hashing shingles into GROUPS groups gives a point of
-group counts; the overlap of two sets is at most the sum of their points' coordinate minima. Trees over such points, whose
-nodes hold coordinate maxima, find the pairs whose bound reaches what the similarity needs; those are verified on the sets.
+A document is the set of its distinct word shingles, hashed to 64 bits. Hashing shingles into groups gives a point of group
+counts; the overlap of two sets is at most the sum of their points' coordinate minima. Trees over such points, whose nodes
+hold coordinate maxima, find the pairs whose bound reaches what the similarity needs; those are verified on the sets. A set
+has about as many groups as shingles, a power of two, so that the bound stays close at every size; a point folds to half its
+groups to meet one of the next smaller size.
 
 One tree over all documents would compare each with much of it, as maxima over many points bound little. So trees are built
 in blocks: two sets that are similar enough share a shingle among the first n - ceil(t n) + 1 of each, in any order that
@@ -30,16 +32,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cityloom.llm.common import released, settled, table
+from cityloom.llm.common import settled, table
 from cityloom.llm.components import components
 
-GROUPS = 64
+LEAST_GROUPS = 64
 ORDER_BITS = 16
 CHUNK = 2048
 LEAF = 32
 KEPT = 400_000
-FULL = 65_535
+#: Sets to be looked up that are sent to every task, at some 40 bytes each.
+BROADCAST_ROWS = 400_000
+FULL, WITHOUT_BOUND = 15, 120
 MIX = np.uint64(0x9E3779B97F4A7C15)
+LOW = np.uint64(64 - ORDER_BITS)
+REST = np.uint64((1 << (64 - ORDER_BITS)) - 1)
 
 
 class Words(dict):
@@ -58,8 +64,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None, width: int, words: Words) -> np.ndarray:
-    """The distinct shingles' hashes, ascending. bytes.lower and bytes.split know A-Z and the six ASCII spaces only, as is asked for."""
+def shingles(text: str | None, width: int, words: Words, order: np.ndarray | None = None) -> np.ndarray:
+    """The distinct shingles' hashes, ascending; order: of hash buckets, by which the hashes are renamed. bytes.lower and bytes.split know A-Z and the six ASCII spaces only, as is asked for."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
         return np.zeros(0, np.uint64)
@@ -67,8 +73,13 @@ def shingles(text: str | None, width: int, words: Words) -> np.ndarray:
     k = min(width, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
-        out = out * MIX + h[i : len(h) - k + 1 + i]
-    return np.unique(mixed(out))
+        out *= MIX
+        out += h[i : len(h) - k + 1 + i]
+    out = mixed(out)
+    if order is not None:  # a renaming of the buckets: still one number a shingle
+        out = (order[out >> LOW] << LOW) | (out & REST)
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def needed(a, b, percent: int):
@@ -83,21 +94,26 @@ def first_ones(n: int, percent: int) -> int:
 # --- documents --------------------------------------------------------------------------------------------------------
 
 
-def bucket_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """How many shingles of all documents fall into each of 2 ** ORDER_BITS hash buckets."""
+def bucket_order(docs: DataFrame, width: int) -> np.ndarray:
+    """The place of each of 2 ** ORDER_BITS hash buckets by how many shingles of all documents fall into it, fewest first."""
+    n = 1 << ORDER_BITS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, total = Words(), np.zeros(1 << ORDER_BITS, np.int64)
+        words, total = Words(), np.zeros(n, np.int64)
         for df in batches:
-            for text in df["text"]:
-                total += np.bincount((shingles(text, width, words) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS) if text else 0
+            texts = df["text"].tolist()
+            for a in range(0, len(texts), 256):
+                hashes = np.concatenate([shingles(t, width, words) for t in texts[a : a + 256]])
+                total += np.bincount((hashes >> LOW).astype(np.int64), minlength=n)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at, "n": total[at]})
 
     sums = docs.select("text").mapInPandas(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(1 << ORDER_BITS, np.int64)
+    counts = np.zeros(n, np.int64)
     for r in sums.collect():  # a row a bucket at most
-        out[r["bucket"]] = r["n"]
+        counts[r["bucket"]] = r["n"]
+    out = np.empty(n, np.uint64)
+    out[np.argsort(counts, kind="stable")] = np.arange(n, dtype=np.uint64)
     return out
 
 
@@ -112,13 +128,12 @@ def described(docs: DataFrame, width: int, percent: int, order: np.ndarray) -> D
         for df in batches:
             rows = []
             for doc_id, text in zip(df["doc_id"], df["text"], strict=True):
-                s = shingles(text, width, words)
+                s = shingles(text, width, words, order)
                 n = len(s)
                 key = xxhash.xxh128_digest(s.tobytes())
                 s1, s2 = np.frombuffer(key, np.int64).tolist()
-                point = np.minimum(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), FULL).astype("<u2").tobytes()
-                first = s[np.lexsort((s, order[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]))[: first_ones(n, percent)]] if n else s
-                rows.append((doc_id, n, s1, s2, point, first.view(np.int64)))
+                point = point_of(s)
+                rows.append((doc_id, n, s1, s2, point, s[: first_ones(n, percent)].view(np.int64) if n else s.view(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "s1", "s2", "point", "first"]).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(run, SETS)
@@ -153,22 +168,38 @@ class Tree:
         nodes = np.arange(len(self.levels[-1][1]))
         for depth in range(len(self.levels) - 1, -1, -1):
             most, least, largest = (x[nodes] for x in self.levels[depth])
-            bound = np.minimum(most, point).sum(axis=1)
+            bound = bounds(most, point)
             nodes = nodes[(bound >= needed(n, np.maximum(least, -(-percent * n // 100)), percent)) & (100 * n >= percent * least) & (100 * largest >= percent * n)]
             size = len(self.levels[depth - 1][1]) if depth else len(self.n)
             nodes = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
             nodes = nodes[nodes < size]
-        bound = np.minimum(self.points[nodes], point).sum(axis=1)
+        bound = bounds(self.points[nodes], point)
         return self.order[nodes[(bound >= needed(n, self.n[nodes], percent)) & (100 * np.minimum(n, self.n[nodes]) >= percent * np.maximum(n, self.n[nodes]))]]
 
 
-def as_points(column) -> np.ndarray:
-    """Counts of many points; a count that was too large to hold is without bound."""
-    out = np.frombuffer(b"".join(column), "<u2").reshape(-1, GROUPS).astype(np.int64)
-    out[out == FULL] = 1 << 40
+def point_of(s: np.ndarray) -> bytes:
+    """Group counts, four bits each; FULL stands for that and more."""
+    groups = max(LEAST_GROUPS, 1 << (len(s) - 1).bit_length()) if len(s) else LEAST_GROUPS
+    counts = np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), FULL).astype(np.uint8)
+    return (counts[0::2] | (counts[1::2] << 4)).tobytes()
+
+
+def as_points(column, fold: bool = False) -> np.ndarray:
+    """Counts of points of one size, a row each; fold: to half the groups. A count that was too large to hold bounds nothing."""
+    column = list(column)
+    packed = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+    out = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(column), -1)
+    out[out == FULL] = WITHOUT_BOUND
+    if fold:
+        half = out.shape[1] // 2
+        out = np.minimum(out[:, :half].astype(np.uint16) + out[:, half:], WITHOUT_BOUND).astype(np.uint8)
     return out
 
 
+def bounds(points: np.ndarray, point: np.ndarray) -> np.ndarray:
+    return np.minimum(points, point).sum(axis=1, dtype=np.int32)
+
+
 def runs(df: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
     change = np.flatnonzero((df[keys] != df[keys].shift()).any(axis=1).to_numpy())
     return list(zip(change.tolist(), [*change[1:].tolist(), len(df)], strict=True))
@@ -180,17 +211,27 @@ def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
     def pairs(df: pd.DataFrame) -> list[tuple[int, int]]:
         ids, comp, n, side = (df[c].to_numpy(np.int64) for c in ("id", "component", "n", "side"))
-        points, out = as_points(df["point"]), []
-        left = np.flatnonzero(side == df["one"].iloc[0])
-        right = np.flatnonzero(side == df["two"].iloc[0])
-        if not len(left) or not len(right):
-            return out
-        tree = Tree(points[right], n[right])
-        for i in left.tolist():
-            j = right[tree.near(points[i], int(n[i]), percent)]
-            j = j[(comp[j] != comp[i]) & ((ids[j] > ids[i]) if df["one"].iloc[0] == df["two"].iloc[0] else True)]
-            out += [(min(ids[i], x), max(ids[i], x)) for x in ids[j].tolist()]
-        return out
+        if len(np.unique(comp)) < 2:
+            return []
+        one, two = int(df["one"].iloc[0]), int(df["two"].iloc[0])
+        points, size = df["point"].to_numpy(), df["point"].map(len).to_numpy()
+        out: set[tuple[int, int]] = set()
+
+        def meet(left: np.ndarray, right: np.ndarray, fold: bool) -> None:
+            if not len(left) or not len(right):
+                return
+            tree, own = Tree(as_points(points[right], fold), n[right]), as_points(points[left])
+            for k, i in enumerate(left.tolist()):
+                j = right[tree.near(own[k], int(n[i]), percent)]
+                j = j[comp[j] != comp[i]]
+                out.update((min(ids[i], x), max(ids[i], x)) for x in ids[j].tolist())
+
+        for s in np.unique(size).tolist():
+            meet(np.flatnonzero((side == one) & (size == s)), np.flatnonzero((side == two) & (size == s)), False)
+            meet(np.flatnonzero((side == one) & (size == s)), np.flatnonzero((side == two) & (size == 2 * s)), True)
+            if one != two:
+                meet(np.flatnonzero((side == two) & (size == s)), np.flatnonzero((side == one) & (size == 2 * s)), True)
+        return list(out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -229,9 +270,11 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            if len(df):
-                bound = np.minimum(as_points(df["pa"]), as_points(df["pb"])).sum(axis=1)
-                yield df.loc[bound >= needed(df["na"].to_numpy(), df["nb"].to_numpy(), percent), ["a", "b"]]
+            ok = []
+            for x, y in zip(df["pa"], df["pb"], strict=True):
+                x, y = (x, y) if len(x) <= len(y) else (y, x)
+                ok.append(int(bounds(as_points([x]), as_points([y], len(y) > len(x)))[0]))
+            yield df.loc[np.array(ok, np.int64) >= needed(df["na"].to_numpy(), df["nb"].to_numpy(), percent), ["a", "b"]]
 
     met = pairs.join(first, "a").join(second, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     return met.mapInPandas(run, "a long, b long")
@@ -243,47 +286,60 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id connected), a row a document."""
     docs = docs.select("doc_id", "text")
-    found = settled(described(docs, width, percent, bucket_counts(docs, width)), "sets")
+    order = bucket_order(docs, width)
+    found = settled(described(docs, width, percent, order), "sets")
     key = ["n", "s1", "s2"]
     nodes = found.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("low"), F.min_by("point", "doc_id").alias("point"))
     nodes = settled(nodes.withColumnRenamed("s1", "id"), "nodes")
     # one row a set: that of its least document
     one = found.select("doc_id", *key, "first").join(nodes.select("n", F.col("id").alias("s1"), "s2", F.col("low").alias("doc_id")), ["doc_id", *key]).dropDuplicates(["doc_id", *key])
-    tokens = one.select(F.col("s1").alias("id"), F.explode("first").alias("token"))
+    tokens = one.select(F.col("s1").alias("id"), "n", F.explode("first").alias("token"))
     by_token = W.partitionBy("token")
-    shared = tokens.withColumn("lead", F.min("id").over(by_token)).withColumn("size", F.count("*").over(by_token)).withColumn("print", F.sum(F.xxhash64("id") % (1 << 40)).over(by_token)).where("size > 1")
+    shared = tokens.withColumn("size", F.count("*").over(by_token)).withColumn("print", F.sum(F.xxhash64("id") % (1 << 40)).over(by_token)).where("size > 1")
     shared = settled(shared, "shared")
-    ids = settled(shared.select("id").distinct(), "ids")
-    met = nodes.join(ids, "id", "left_semi")
-    points = settled(met.select("id", "n", "point"), "points")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
-        for df in batches:
-            yield pd.DataFrame({"id": df["id"], "shingles": [shingles(t, width, words).tobytes() for t in df["text"]], "s1": [0] * len(df)})[["id", "shingles"]]
-
-    # texts are read again only for sets that share a first shingle with another
-    texts = docs.join(met.select("id", F.col("low").alias("doc_id")), "doc_id")
-    sets = settled(texts.mapInPandas(run, "id long, shingles binary"), "shingles")
-    if docs.select("doc_id").groupBy("doc_id").count().where("count > 1").take(1):
+    # a block's first member to compare with: that which shares most, as a text does that the others are copies of
+    common = shared.groupBy("id").agg(F.count("*").alias("common"))
+    leads = shared.join(common, "id").groupBy("token").agg(F.max(F.struct("common", "id", "n")).alias("lead")).select("token", F.col("lead.id").alias("lead"), F.col("lead.n").alias("_n"))
+    alike = F.expr(f"100 * least(n, _n) >= {percent} * greatest(n, _n)")
+    pairs = shared.join(leads, "token").where((F.col("id") != F.col("lead")) & alike).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
+    points = nodes.select("id", "n", "point")
+    several = bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets that some pairs need, from their texts: only of what the points let through."""
+        ids = settled(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+        low = ids.join(nodes.select("id", F.col("low").alias("doc_id")), "id")
+        if ids.count() <= BROADCAST_ROWS:  # beyond that size both sides are dealt by doc_id
+            low = F.broadcast(low)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            words = Words()
+            for df in batches:
+                yield pd.DataFrame({"id": df["id"], "shingles": [shingles(t, width, words, order).tobytes() for t in df["text"]]})
+
+        sets = docs.join(low, "doc_id").mapInPandas(run, "id long, shingles binary")
         # ids that stand on several rows: only the row whose set it is
-        own = F.col("id")
-        sets = settled(sets.mapInPandas(checked, "id long, shingles binary").where(own.isNotNull()).dropDuplicates(["id"]), "shingles")
-    star = bounded(shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), points, percent)
-    links = settled(verified(star, sets, percent), "links")
+        return settled(sets.mapInPandas(checked, "id long, shingles binary").dropDuplicates(["id"]) if several else sets, "shingles")
+
+    star = settled(bounded(pairs, points, percent), "star")
+    links = settled(verified(star, sets_of(star), percent), "links")
     label = settled(components(links), "components")
     # blocks with the same members need one look; members all connected need none
     labelled = shared.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     blocks = labelled.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.first("size").alias("size"), F.first("print").alias("print")).where("_low <> _high")
     blocks = blocks.groupBy("size", "print").agg(F.min("token").alias("token")).select("token")
-    rest = labelled.join(blocks, "token").join(points, "id")
+    # members without a neighbour in size have no partner there; only the others need their points
+    by_size = W.partitionBy("token").orderBy("n", "id")
+    less, more = F.coalesce(F.lag("n").over(by_size), F.lit(0)), F.coalesce(F.lead("n").over(by_size), F.lit(1 << 50))
+    rest = labelled.join(blocks, "token").withColumns({"_less": less, "_more": more}).where(f"100 * _less >= {percent} * n or 100 * n >= {percent} * _more")
+    rest = rest.drop("_less", "_more", "n").join(points, "id")
     parts = F.ceil(F.col("size") / CHUNK).cast("int")
     rest = rest.withColumn("_parts", parts).withColumn("side", F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("_parts")).cast("int"))
     rest = rest.withColumn("_other", F.explode(F.expr("sequence(0, _parts - 1)")))
     rest = rest.select(F.col("token").alias("block"), F.least("side", "_other").alias("one"), F.greatest("side", "_other").alias("two"), "side", "id", "component", "n", "point")
     rest = rest.repartition("block", "one", "two").sortWithinPartitions("block", "one", "two")
-    more = verified(block_pairs(rest, percent).distinct(), sets, percent)
-    more = settled(more, "links")
+    more = settled(block_pairs(rest, percent).distinct(), "pairs")
+    more = settled(verified(more, sets_of(more), percent), "links")
     label = settled(components(links.unionAll(more)), "components")
     of_set = nodes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     lows = of_set.groupBy("component").agg(F.min("low").alias("component_id"))
