@@ -91,8 +91,12 @@ def fitted(sample: np.ndarray, n: int, cosine: float) -> Grid:
     turned = unit(turned - (turned * some).sum(1)[:, None] * some + 1e-300)
     partner = cosine * some + math.sqrt(1 - cosine**2) * turned
     left, right = [some], [partner]
-    close = some @ sample.T
-    i, j = np.nonzero((close >= cosine) & (close < 1 - 1e-9))
+    found = []
+    for at in range(0, len(some), 128):  # a strip of the products at a time
+        close = some[at : at + 128] @ sample.T
+        i, j = np.nonzero((close >= cosine) & (close < 1 - 1e-9))
+        found.append((i + at, j))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
     if len(i):
         pick = rng.choice(len(i), min(len(i), PAIRS), replace=False)
         left.append(some[i[pick]])
