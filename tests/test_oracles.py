@@ -34,7 +34,7 @@ def table(rows):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_oracle(spark, db, name):
     got = registry.QUERIES[name](spark, str(SF)).toArrow()
-    want = db.sql(registry.ORACLE_SQL[name]).fetch_arrow_table()
+    want = db.sql(registry.ORACLE_SQL[name]).to_arrow_table()
     assert sorted(got.schema.names) == sorted(want.schema.names)
     assert table(got.to_pylist()) == table(want.to_pylist())
 
