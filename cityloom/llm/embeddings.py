@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityloom.llm.common import settled, table
+from cityloom.llm.common import settled, table, tidy
 from cityloom.llm.components import components
 
 COSINE = 0.9
@@ -123,7 +123,7 @@ def located(nodes: DataFrame, grid: Grid) -> DataFrame:
                 x = unit(np.stack(part["embedding"].to_numpy()).astype(np.float64))
                 yield pd.DataFrame({"id": part["id"], "copies": part["copies"], "vector": [v.tobytes() for v in x], "cell": grid.cells(x).astype(np.int32), "visits": list(grid.visited(x).astype(np.int32))})
 
-    return nodes.mapInPandas(run, LOCATED)
+    return nodes.mapInPandas(tidy(run), LOCATED)
 
 
 def compared(rows: DataFrame, cosine: float) -> DataFrame:

@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cityloom.llm.common import settled, table
+from cityloom.llm.common import settled, table, tidy
 from cityloom.llm.components import components
 
 LEAST_GROUPS = 64
 ORDER_BITS = 16
 CHUNK = 2048
 LEAF = 32
-KEPT = 400_000
+KEPT = 200_000
 #: Sets to be looked up that are sent to every task, at some 40 bytes each.
 BROADCAST_ROWS = 400_000
 FULL, WITHOUT_BOUND = 15, 120
@@ -108,7 +108,7 @@ def bucket_order(docs: DataFrame, width: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at, "n": total[at]})
 
-    sums = docs.select("text").mapInPandas(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = docs.select("text").mapInPandas(tidy(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros(n, np.int64)
     for r in sums.collect():  # a row a bucket at most
         counts[r["bucket"]] = r["n"]
@@ -136,7 +136,7 @@ def described(docs: DataFrame, width: int, percent: int, order: np.ndarray) -> D
                 rows.append((doc_id, n, s1, s2, point, s[: first_ones(n, percent)].view(np.int64) if n else s.view(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "s1", "s2", "point", "first"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, SETS)
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), SETS)
 
 
 # --- trees ------------------------------------------------------------------------------------------------------------
@@ -243,7 +243,7 @@ def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
         if rest is not None:
             yield pd.DataFrame(pairs(rest), columns=["a", "b"], dtype="int64")
 
-    return rows.mapInPandas(run, "a long, b long")
+    return rows.mapInPandas(tidy(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -260,7 +260,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * common >= percent * (len(p) + len(q) - common))
             yield df.loc[np.array(ok, bool), ["a", "b"]]
 
-    return pairs.join(first, "a").join(second, "b").mapInPandas(run, "a long, b long")
+    return pairs.join(first, "a").join(second, "b").mapInPandas(tidy(run), "a long, b long")
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -277,7 +277,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield df.loc[np.array(ok, np.int64) >= needed(df["na"].to_numpy(), df["nb"].to_numpy(), percent), ["a", "b"]]
 
     met = pairs.join(first, "a").join(second, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return met.mapInPandas(run, "a long, b long")
+    return met.mapInPandas(tidy(run), "a long, b long")
 
 
 # --- join -------------------------------------------------------------------------------------------------------------
@@ -317,9 +317,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
             for df in batches:
                 yield pd.DataFrame({"id": df["id"], "shingles": [shingles(t, width, words, order).tobytes() for t in df["text"]]})
 
-        sets = docs.join(low, "doc_id").mapInPandas(run, "id long, shingles binary")
+        sets = docs.join(low, "doc_id").mapInPandas(tidy(run), "id long, shingles binary")
         # ids that stand on several rows: only the row whose set it is
-        return settled(sets.mapInPandas(checked, "id long, shingles binary").dropDuplicates(["id"]) if several else sets, "shingles")
+        return settled(sets.mapInPandas(tidy(checked), "id long, shingles binary").dropDuplicates(["id"]) if several else sets, "shingles")
 
     star = settled(bounded(pairs, points, percent), "star")
     links = settled(verified(star, sets_of(star), percent), "links")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cityloom.llm.common import settled, table
+from cityloom.llm.common import settled, table, tidy
 from cityloom.llm.tokens import VOCABULARY, Tokens
 
 LENGTH = 4096
@@ -57,7 +57,7 @@ def cut_pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES + (", ids binary" if with_ids else ""))
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), PIECES + (", ids binary" if with_ids else ""))
 
 
 class Lengths:
@@ -174,7 +174,7 @@ def packed(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
             yield df.assign(sequence_id=first[at] + own - key[at], offset=offset[at])
 
     schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return ranked.mapInPandas(run, schema)
+    return ranked.mapInPandas(tidy(run), schema)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

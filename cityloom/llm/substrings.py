@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cityloom.llm.common import settled, table
+from cityloom.llm.common import settled, table, tidy
 from cityloom.llm.jaccard import MIX, Words, mixed
 
 WINDOW = 20
@@ -214,7 +214,7 @@ def anchored(docs: DataFrame, window: int, rounds: int) -> DataFrame:
             if parts:
                 yield classes_of({c: np.concatenate([p[c] for p in parts]) for c in parts[0]}, window)[names]
 
-    return docs.mapInPandas(run, FOUND)
+    return docs.mapInPandas(tidy(run), FOUND)
 
 
 #: kind 1: words [at, until) are repeats; kind 2: windows that start in [at, until) are to be compared one by one.
@@ -258,7 +258,7 @@ def judged(found: DataFrame, window: int) -> DataFrame:
         if rest is not None:
             yield judge(rest)
 
-    return found.mapInPandas(run, JUDGED)
+    return found.mapInPandas(tidy(run), JUDGED)
 
 
 # --- verdict ----------------------------------------------------------------------------------------------------------
@@ -303,7 +303,7 @@ def drafted(docs: DataFrame, window: int) -> DataFrame:
             out = pd.DataFrame(rows, columns=names)
             yield out.astype({"doc_id": "Int64", "n_words": "Int64", "n_removed": "Int64"})
 
-    return docs.mapInPandas(run, DRAFT)
+    return docs.mapInPandas(tidy(run), DRAFT)
 
 
 def repeats_removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -337,7 +337,7 @@ def repeats_removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
                 rows.append((doc_id, *summary((text or "").encode("utf-8", "surrogatepass").split(), cover)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return done.unionAll(last.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
+    return done.unionAll(last.mapInPandas(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string"))
 
 
 def op8_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

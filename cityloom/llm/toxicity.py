@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityloom.llm.common import table
+from cityloom.llm.common import table, tidy
 
 TRAIN_ROWS = 12_000
 TERMS = 2000
@@ -42,7 +42,7 @@ LEAST_ROWS, LEAST_PRECISION = 3, 0.7
 FEATURES = 4
 COVERED, CLEARER, LIFT = 0.8, 1.5, 4.0
 THRESHOLD = 0.3
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 TOKEN = re.compile(r"[^\W_]+(?:[@$][^\W_]+)*")
 LEET = str.maketrans("013457@$", "oieastas")
@@ -91,7 +91,7 @@ def without_copies(rows: DataFrame) -> DataFrame:
                 out.append([f"{k}:{lows[2 * k]}:{lows[2 * k + 1]}" for k in range(SKETCHES)])
             yield pd.DataFrame({"doc_id": df["doc_id"].values, "bands": out})
 
-    found = rows.mapInPandas(run, "doc_id long, bands array<string>").collect()  # TRAIN_ROWS rows at most
+    found = rows.mapInPandas(tidy(run), "doc_id long, bands array<string>").collect()  # TRAIN_ROWS rows at most
     group: dict = {}
 
     def root(x):
@@ -123,7 +123,7 @@ def counted(rows: DataFrame) -> DataFrame:
             both[0].clear()
             both[1].clear()
 
-    return rows.mapInPandas(run, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    return rows.mapInPandas(tidy(run), "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
 def chosen(counts: DataFrame) -> tuple[dict[str, float], int, int]:
@@ -351,7 +351,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
                 got = [scorer.counts(t or "") for t in df["text"]]
                 yield pd.DataFrame({"n": [n for n, _, _ in got], "counts": [list(c.items()) for _, c, _ in got], "words": [w for *_, w in got], "toxic": (df["toxic"] == 1).astype("int32").values})
 
-        return rows.mapInPandas(run, "n long, counts array<struct<term: string, c: double>>, words array<string>, toxic int").collect()  # TRAIN_ROWS rows at most
+        return rows.mapInPandas(tidy(run), "n long, counts array<struct<term: string, c: double>>, words array<string>, toxic int").collect()  # TRAIN_ROWS rows at most
 
     by = (Counter(), Counter())
     for r in (sample := sampled(frozenset())):
@@ -382,7 +382,7 @@ def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
             yield df.drop(columns="_scored").assign(score=scores)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    out = docs.select(*columns, F.col("text").alias("_scored")).mapInPandas(run, f"{fields}, score double")
+    out = docs.select(*columns, F.col("text").alias("_scored")).mapInPandas(tidy(run), f"{fields}, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
@@ -395,7 +395,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
             texts = batch.column("text").to_pylist()
             yield batch.filter(pa.array([model.score(*scorer.counts(t or "")[:2]) < THRESHOLD for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityloom.llm.common import new_path, settled, table, utf8
+from cityloom.llm.common import new_path, settled, table, tidy, utf8
 
 PACKAGE_BYTES = 32 << 20
 DATE = "2020-01-01T00:00:00Z"
@@ -225,7 +225,7 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
 
     # ids as text: a column with nulls would pass through pandas as floating point
     rows = with_responses(pages, min_bytes).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
-    return rows.mapInPandas(run, "package string, records long, bytes long")
+    return rows.mapInPandas(tidy(run), "package string, records long, bytes long")
 
 
 def read_index(packages: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def read_index(packages: DataFrame) -> DataFrame:
                 rows = [(package, first + x["offset"], x["length"], x["url"]) for x in map(json.loads, lines.splitlines())]
                 yield pd.DataFrame(rows, columns=["package", "start", "length", "url"])
 
-    return packages.select("package").mapInPandas(run, "package string, start long, length long, url string")
+    return packages.select("package").mapInPandas(tidy(run), "package string, start long, length long, url string")
 
 
 RECORDS = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
@@ -280,7 +280,7 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
                 ranges.close()
             yield pd.DataFrame(rows, columns=names)
 
-    out = index.select("package", "start", "length").mapInPandas(run, RECORDS + (", payload binary" if with_payload else ""))
+    out = index.select("package", "start", "length").mapInPandas(tidy(run), RECORDS + (", payload binary" if with_payload else ""))
     return out.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
