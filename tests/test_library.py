@@ -62,6 +62,27 @@ def test_greedy_is_the_sequential_one(spark):
     assert got == want
 
 
+def test_greedy_leaves_no_candidate_open(spark):
+    copies = [(p, b, 1.0) for p in range(100) for b in range(120)]
+    chain = [(1000 + k, 1000 + b, 1.0) for k in range(70) for b in range(max(0, k - 1), k + 1)]
+    got = {(r["p"], r["b"]) for r in spatial.greedy_pairs(spark.createDataFrame(copies + chain, "p long, b long, score double")).collect()}
+    assert got == {(k, k) for k in range(100)} | {(1000 + k, 1000 + k) for k in range(70)}
+
+
+def test_greedy_with_copies_is_the_sequential_one(spark):
+    rng = random.Random(4)
+    kinds = [[(b, float(rng.randint(0, 3))) for b in range(30) if rng.random() < 0.5] for _ in range(6)]
+    rows = [(p, b, s) for p in range(40) for b, s in kinds[p % 6]]
+    got = {(r["p"], r["b"]) for r in spatial.greedy_pairs(spark.createDataFrame(rows, "p long, b long, score double")).collect()}
+    want, ps, bs = set(), set(), set()
+    for _, p, b in sorted((s, p, b) for p, b, s in rows):
+        if p not in ps and b not in bs:
+            want.add((p, b))
+            ps.add(p)
+            bs.add(b)
+    assert got == want
+
+
 def test_smoothing():
     assert aggregate.smoothed(list("aabaaa"), [5, 5, 1, 5, 5, 5], 3) == list("aaaaaa")
     assert aggregate.smoothed(list("baaa"), [1, 5, 5, 5], 3) == list("aaaa")
