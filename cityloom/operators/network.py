@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,5 +57,54 @@ def harmonic(pinned: DataFrame, nodes: DataFrame, edges: DataFrame, rounds: int)
     return v.select("id", "v")
 
 
+def solved(part: pd.DataFrame) -> pd.DataFrame:
+    """The free nodes of one component, by elimination."""
+    at, m = {k: n for n, k in enumerate(part["id"])}, np.diag(part["d"].to_numpy(float))
+    for n, near in enumerate(part["near"]):
+        for x in near if near is not None else ():
+            m[n, at[x["a"]]] -= x["w"]
+    return pd.DataFrame({"id": part["id"], "v": part["v"] + np.linalg.solve(m, part["r"].to_numpy(float))})
+
+
+def conjugate(state: DataFrame, ways: DataFrame, most_left: float, rounds: int) -> DataFrame:
+    """state (id, v, r, d), ways (a, b, w) -> id, v: conjugate gradients with the diagonal, until no residual r is over most_left."""
+    left = [F.sum(F.expr("r * r / d")), F.max(F.abs("r"))]
+    state = cut(state.withColumn("p", F.expr("r / d")))
+    norm, most = state.agg(*left).first()
+    for _ in range(rounds):
+        if most is None or most <= most_left:
+            return state.select("id", "v")
+        near = state.select(F.col("id").alias("a"), "p").join(ways, "a").groupBy(F.col("b").alias("id")).agg(F.sum(F.expr("w * p")).alias("_near"))
+        state = cut(state.join(near, "id", "left").withColumn("q", F.expr("d * p - coalesce(_near, 0)")).drop("_near"))
+        step = norm / state.agg(F.sum(F.expr("p * q"))).first()[0]
+        state = state.withColumns({"v": F.col("v") + step * F.col("p"), "r": F.col("r") - step * F.col("q")})
+        after, most = state.agg(*left).first()
+        state, norm = state.withColumn("p", F.expr("r / d") + after / norm * F.col("p")).drop("q"), after
+    raise RuntimeError(f"not settled after {rounds} rounds")
+
+
+def grade_line(nodes: DataFrame, edges: DataFrame, pull: float = 1e-5, direct: int = 500, tolerance: float = 1e-6, rounds: int = 5000) -> DataFrame:
+    """nodes (id, ground, pinned), edges (a, b, length) -> id, v: the v that make the sum of (va - vb)^2 / length over the edges and
+    of pull * (v - ground)^2 over the nodes least, pinned ones being at their ground. Lengths count as 1 at least. Pinned nodes
+    part the rest into components; those of up to `direct` nodes are solved by elimination, larger ones by conjugate gradients
+    until no residual is over tolerance * pull: no v is then further than the tolerance from the solution, as each row of the
+    system exceeds its other entries by pull."""
+    ends = lambda c: nodes.select(F.col("id").alias(c), F.col("ground").alias(f"{c}_at"), F.col("pinned").alias(f"{c}_pin"))
+    ways = both_ways(edges).where("a <> b").groupBy("a", "b").agg(F.sum(1 / F.greatest("length", F.lit(1.0))).alias("w"))
+    ways = cut(ways.join(ends("a"), "a").join(ends("b"), "b").where("not b_pin"))
+    start = ways.groupBy(F.col("b").alias("id")).agg(F.sum("w").alias("_w"), F.sum(F.expr("w * (a_at - b_at)")).alias("_r"))
+    ways, free = ways.where("not a_pin").select("a", "b", "w"), nodes.where("not pinned")
+    label = component_ids(free.select("id"), ways.where("a < b").select("a", "b", F.col("w").alias("length")))
+    sizes = label.groupBy("component").agg(F.count("*").alias("n"))
+    free = free.join(start, "id", "left").join(label, "id").join(sizes, "component")
+    free = cut(free.select("id", "component", "n", F.col("ground").alias("v"), F.coalesce("_r", F.lit(0.0)).alias("r"), (F.coalesce("_w", F.lit(0.0)) + pull).alias("d")))
+    small, large = free.where(F.col("n") <= direct), free.where(F.col("n") > direct)
+    near = ways.join(small.select(F.col("id").alias("b")), "b").groupBy(F.col("b").alias("id")).agg(F.collect_list(F.struct("a", "w")).alias("near"))
+    out = small.join(near, "id", "left").groupBy("component").applyInPandas(solved, "id long, v double")
+    if large.take(1):
+        out = out.unionByName(conjugate(large.drop("component", "n"), ways, tolerance * pull, rounds))
+    return out.unionByName(nodes.where("pinned").select("id", F.col("ground").alias("v")))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))

@@ -148,6 +148,13 @@ def harmonic_levels(spark, sf_dir):
     return N.harmonic(pinned, all_nodes, edges(spark, sf_dir), 3).withColumn("v", F.round("v", 6))
 
 
+# the whole solve, with the pull to the ground; the sweeps above are the first three of the way there, from 0 and without it
+@query()
+def grade_line(spark, sf_dir):
+    at = nodes(spark, sf_dir).selectExpr("id", "cast(id + id % 10 as double) as ground", "id % 10 = 0 as pinned")
+    return N.grade_line(at, edges(spark, sf_dir)).withColumn("v", F.round("v", 6))
+
+
 # --- placement --------------------------------------------------------------------------------------------------------
 
 

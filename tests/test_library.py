@@ -113,6 +113,29 @@ def test_network_on_a_path(spark):
     assert all(abs(h[k] - 0.5 * k) < 1e-9 for k in range(n + 1))
 
 
+def test_grade_line_is_the_dense_solve(spark):
+    rng = random.Random(5)
+    n, pull = 60, 1e-5
+    pairs = [(k, k + 1) for k in range(39)] + [(rng.randint(0, 38), rng.randint(0, 38)) for _ in range(8)] + [(k, k + 1) for k in range(45, 55)]
+    rows = [(a, b, rng.choice([0.5, 2.0, 30.0])) for a, b in pairs]
+    ground, pinned = [float(rng.randint(0, 90)) for _ in range(n)], [k in (0, 39) for k in range(n)]
+    m, rhs = np.diag([pull] * n), pull * np.array(ground)
+    for a, b, length in rows:
+        if a != b:
+            w = 1 / max(length, 1)
+            m[a, a], m[b, b], m[a, b], m[b, a] = m[a, a] + w, m[b, b] + w, m[a, b] - w, m[b, a] - w
+    for k in (0, 39):
+        m[k], rhs[k] = np.eye(n)[k], ground[k]
+    want = np.linalg.solve(m, rhs)
+    nodes = spark.createDataFrame([(k, ground[k], pinned[k]) for k in range(n)], "id long, ground double, pinned boolean")
+    edges = spark.createDataFrame(rows, "a long, b long, length double")
+    for direct in (500, 20):
+        got = {r["id"]: r["v"] for r in network.grade_line(nodes, edges, direct=direct).collect()}
+        assert len(got) == n and max(abs(got[k] - want[k]) for k in range(n)) < 1e-5
+    with pytest.raises(RuntimeError):
+        network.grade_line(nodes, edges, direct=20, rounds=3)
+
+
 def test_mosaic_and_opening(spark):
     a = spark.createDataFrame([(0, 0, 1.0), (1, 0, None)], "i long, j long, v double")
     b = spark.createDataFrame([(1, 0, 5.0), (0, 0, 9.0)], "i long, j long, v double")
