@@ -29,13 +29,16 @@ def lower_envelope(start: DataFrame, edges: DataFrame, grade: float) -> DataFram
     raise RuntimeError(f"not settled after {ROUNDS} rounds")
 
 
-def component_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def component_ids(nodes: DataFrame, edges: DataFrame, together: bool = False) -> DataFrame:
     """id, component: the least id that the edges connect. Labels fall along the edges, and to their labels' labels, which
-    halves the way each round."""
+    halves the way each round. `together`: all nodes of a label fall as far as the first of them, which saves rounds where
+    components are large and dense."""
     ways, label = both_ways(edges).select("a", "b").distinct(), cut(nodes.select("id", F.col("id").alias("component")))
     for _ in range(ROUNDS):
         low = label.join(ways, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.min("component").alias("_low"))
         near = label.join(low, "id", "left").select("id", "component", F.least("component", F.coalesce("_low", "component")).alias("_to"))
+        if together:
+            near = near.join(near.groupBy("component").agg(F.min("_to").alias("_all")), "component").select("id", "component", F.col("_all").alias("_to"))
         jump = near.select(F.col("id").alias("_to"), F.col("_to").alias("_far"))
         after = cut(near.join(jump, "_to", "left").select("id", F.least("_to", F.coalesce("_far", "_to")).alias("component"), (F.least("_to", F.coalesce("_far", "_to")) < F.col("component")).alias("_fell")))
         if not after.where("_fell").take(1):

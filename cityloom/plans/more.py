@@ -9,6 +9,7 @@ from cityloom.functions.geometry import utm
 from cityloom.operators import network as N
 from cityloom.operators import raster as R
 from cityloom.operators import spatial as S
+from cityloom.operators.lineage import cut
 from cityloom.plans.entities import WITH, footprints, landmarks, outlines, read
 from cityloom.plans.layers import BURN, EDGES, burned, edges
 from cityloom.sources.sinks import decoded_tiles, point_tiles
@@ -124,9 +125,20 @@ def activity_field(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {WITH.removeprefix('WITH ')}, g AS (SELECT id, x0 - 3 AS x0, y0 - 3 AS y0, x1 + 3 AS x1, y1 + 3 AS y1 FROM a WHERE id % 9 = 0), e AS (SELECT a.id AS i, b.id AS j FROM g AS a JOIN g AS b ON {TOUCHES}), w AS (SELECT id, id AS c FROM g UNION SELECT e.j, w.c FROM w JOIN e ON e.i = w.id), r AS (SELECT id, min(c) AS c FROM w GROUP BY 1) SELECT c AS id, count(*) AS parts, min(x0) + 3 AS x0, max(x1) - 3 AS x1 FROM r JOIN g USING (id) GROUP BY 1")
 def merged_masses(spark, sf_dir):
-    g = footprints(spark, sf_dir).where("id % 9 = 0").select("id", F.col("x0") - 3, F.col("y0") - 3, F.col("x1") + 3, F.col("y1") + 3).toDF("id", "x0", "y0", "x1", "y1")
-    links = S.self_pairs(g, interior=False).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    label = N.component_ids(g.select("id"), links)
+    return masses(footprints(spark, sf_dir).where("id % 9 = 0"))
+
+
+# all footprints, whose recursive closure is too slow in SQL
+@query()
+def all_merged_masses(spark, sf_dir):
+    return masses(footprints(spark, sf_dir))
+
+
+def masses(boxes):
+    """id (the least), parts, x0, x1 of the boxes that meet when each grows by 3, or are linked by such."""
+    g = boxes.select("id", F.col("x0") - 3, F.col("y0") - 3, F.col("x1") + 3, F.col("y1") + 3).toDF("id", "x0", "y0", "x1", "y1")
+    links = cut(S.self_pairs(g, interior=False).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    label = N.component_ids(g.select("id"), links, together=True)
     return g.join(label, "id").groupBy(F.col("component").alias("id")).agg(F.count("*").alias("parts"), (F.min("x0") + 3).alias("x0"), (F.max("x1") - 3).alias("x1"))
 
 

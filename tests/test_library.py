@@ -136,6 +136,25 @@ def test_grade_line_is_the_dense_solve(spark):
         network.grade_line(nodes, edges, direct=20, rounds=3)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_masses_of_all_footprints(spark, sf):
+    from cityloom.plans import entities, registry
+
+    rows = sorted(tuple(r) for r in entities.footprints(spark, f"/root/testdata/{sf}").select("id", "x0", "y0", "x1", "y1").collect())
+    i, x0, y0, x1, y1 = np.array(rows).T
+    meet = (x0 - 6 <= x1[:, None]) & (x0[:, None] - 6 <= x1) & (y0 - 6 <= y1[:, None]) & (y0[:, None] - 6 <= y1)
+    want, open_ = set(), np.ones(len(i), bool)
+    for k in range(len(i)):
+        if open_[k]:
+            held, n = np.arange(len(i)) == k, 0
+            while held.sum() > n:
+                n, held = held.sum(), meet[held].any(0)
+            want.add((i[k], n, x0[held].min(), x1[held].max()))
+            open_ &= ~held
+    got = {tuple(r) for r in registry.QUERIES["all_merged_masses"](spark, f"/root/testdata/{sf}").select("id", "parts", "x0", "x1").collect()}
+    assert got == want and sum(r[1] for r in got) == len(rows)
+
+
 def test_mosaic_and_opening(spark):
     a = spark.createDataFrame([(0, 0, 1.0), (1, 0, None)], "i long, j long, v double")
     b = spark.createDataFrame([(1, 0, 5.0), (0, 0, 9.0)], "i long, j long, v double")
