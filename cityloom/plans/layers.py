@@ -92,14 +92,27 @@ def bilinear_sample(spark, sf_dir):
 
 
 # two triangles a square of 50, heights by a rule
-@query(f"""{WITH}, q AS (SELECT id, x, y, (x // 50) * 50 AS ax, (y // 50) * 50 AS ay FROM p), f AS (SELECT *, (x - ax) / 50.0 AS u, (y - ay) / 50.0 AS w, (ax * 7 + ay * 3) % 97 AS h00, ((ax + 50) * 7 + ay * 3) % 97 AS h10, (ax * 7 + (ay + 50) * 3) % 97 AS h01, ((ax + 50) * 7 + (ay + 50) * 3) % 97 AS h11 FROM q)
-SELECT id, round(CASE WHEN u + w <= 1 THEN h00 + u * (h10 - h00) + w * (h01 - h00) ELSE h11 + (1 - u) * (h01 - h11) + (1 - w) * (h10 - h11) END, 6)::DOUBLE AS v FROM f WHERE x % 50 > 0 AND y % 50 > 0""")
+TIN = f"""{WITH}, q AS (SELECT id, x, y, (x // 50) * 50 AS ax, (y // 50) * 50 AS ay FROM p), f AS (SELECT *, (x - ax) / 50.0 AS u, (y - ay) / 50.0 AS w, (ax * 7 + ay * 3) % 97 AS h00, ((ax + 50) * 7 + ay * 3) % 97 AS h10, (ax * 7 + (ay + 50) * 3) % 97 AS h01, ((ax + 50) * 7 + (ay + 50) * 3) % 97 AS h11 FROM q)
+SELECT id, round(CASE WHEN u + w <= 1 THEN h00 + u * (h10 - h00) + w * (h01 - h00) ELSE h11 + (1 - u) * (h01 - h11) + (1 - w) * (h10 - h11) END, 6)::DOUBLE AS v FROM f"""
+
+
+@query(f"{TIN} WHERE x % 50 > 0 AND y % 50 > 0")
 def tin_height(spark, sf_dir):
+    return heights(spark, landmarks(spark, sf_dir).where("x % 50 > 0 and y % 50 > 0"))
+
+
+# the points on corners and edges of triangles too
+@query(TIN)
+def all_tin_height(spark, sf_dir):
+    return heights(spark, landmarks(spark, sf_dir))
+
+
+def heights(spark, points):
     squares = spark.range(400).selectExpr("id div 20 * 50 as x", "id % 20 * 50 as y", "id as q")
     h = lambda a, b: f"cast((({a}) * 7 + ({b}) * 3) % 97 as double)"
     low = squares.selectExpr("q * 2 as t", "x as ax", "y as ay", f"{h('x', 'y')} as av", "x + 50 as bx", "y as by", f"{h('x + 50', 'y')} as bv", "x as cx", "y + 50 as cy", f"{h('x', 'y + 50')} as cv")
     high = squares.selectExpr("q * 2 + 1 as t", "x + 50 as ax", "y + 50 as ay", f"{h('x + 50', 'y + 50')} as av", "x as bx", "y + 50 as by", f"{h('x', 'y + 50')} as bv", "x + 50 as cx", "y as cy", f"{h('x + 50', 'y')} as cv")
-    points = landmarks(spark, sf_dir).where("x % 50 > 0 and y % 50 > 0").select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    points = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     return R.barycentric(points, low.unionAll(high), 50).withColumn("v", F.round("v", 6))
 
 

@@ -155,6 +155,16 @@ def test_masses_of_all_footprints(spark, sf):
     assert got == want and sum(r[1] for r in got) == len(rows)
 
 
+def test_tin_height_keeps_the_points_on_edges(spark):
+    from cityloom.plans import layers
+
+    points = spark.createDataFrame([(1, 0, 0), (2, 50, 50), (3, 100, 20), (4, 30, 20), (5, 7, 150)], "id long, x long, y long")
+    h = lambda x, y: (x * 7 + y * 3) % 97
+    got = {r["id"]: r["v"] for r in layers.heights(spark, points).collect()}
+    want = {1: h(0, 0), 2: h(50, 50), 3: 0.6 * h(100, 0) + 0.4 * h(100, 50), 4: 0.6 * h(50, 0) + 0.4 * h(0, 50), 5: 0.86 * h(0, 150) + 0.14 * h(50, 150)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_mosaic_and_opening(spark):
     a = spark.createDataFrame([(0, 0, 1.0), (1, 0, None)], "i long, j long, v double")
     b = spark.createDataFrame([(1, 0, 5.0), (0, 0, 9.0)], "i long, j long, v double")
