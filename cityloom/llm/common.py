@@ -31,6 +31,18 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return tidied
 
 
+def for_pandas(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc_id and the columns, for pandas: a column of longs with nulls would arrive as floating point and lose large ids, so a null
+    doc_id travels as 0 and a flag. ids_of() puts it back."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("_no_id"), *columns)
+
+
+def ids_of(df) -> list[int | None]:
+    """The ids of a batch of for_pandas()."""
+    return [None if no else i for i, no in zip(df["doc_id"].tolist(), df["_no_id"].tolist(), strict=True)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

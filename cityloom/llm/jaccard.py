@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cityloom.llm.common import settled, table, tidy
+from cityloom.llm.common import for_pandas, ids_of, settled, table, tidy
 from cityloom.llm.components import components
 
 LEAST_GROUPS = 64
@@ -127,16 +127,18 @@ def described(docs: DataFrame, width: int, percent: int, order: np.ndarray) -> D
         words = Words()
         for df in batches:
             rows = []
-            for doc_id, text in zip(df["doc_id"], df["text"], strict=True):
+            for doc_id, text in zip(ids_of(df), df["text"], strict=True):
                 s = shingles(text, width, words, order)
                 n = len(s)
                 key = xxhash.xxh128_digest(s.tobytes())
                 s1, s2 = np.frombuffer(key, np.int64).tolist()
                 point = point_of(s)
                 rows.append((doc_id, n, s1, s2, point, s[: first_ones(n, percent)].view(np.int64) if n else s.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "s1", "s2", "point", "first"]).astype({"doc_id": "Int64"})
+            out = pd.DataFrame([r[1:] for r in rows], columns=["n", "s1", "s2", "point", "first"])
+            out.insert(0, "doc_id", pd.array([r[0] for r in rows], "Int64"))
+            yield out
 
-    return docs.select("doc_id", "text").mapInPandas(tidy(run), SETS)
+    return for_pandas(docs, "text").mapInPandas(tidy(run), SETS)
 
 
 # --- trees ------------------------------------------------------------------------------------------------------------

@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cityloom.llm.common import settled, table, tidy
+from cityloom.llm.common import for_pandas, ids_of, settled, table, tidy
 from cityloom.llm.tokens import VOCABULARY, Tokens
 
 LENGTH = 4096
@@ -47,17 +48,18 @@ def cut_pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool
         for df in batches:
             rows = []
             # texts go to the tokenizer a few at a time, so that one batch of long ones stays small
-            ids, texts = df["doc_id"].tolist(), ["" if t is None else t for t in df["text"].tolist()]
+            ids, texts = ids_of(df), ["" if t is None else t for t in df["text"].tolist()]
             for at in range(0, len(ids), 256):
                 for doc_id, data in zip(ids[at : at + 256], tokens.of(texts[at : at + 256]), strict=True):
                     data += closing
                     for k in range(0, len(data), 4 * length):
                         part = data[k : k + 4 * length]
                         rows.append((doc_id, k // (4 * length), k // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
-            yield out.astype({"doc_id": "Int64"})
+            out = pd.DataFrame([r[1:] for r in rows], columns=["piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+            out.insert(0, "doc_id", pd.array([r[0] for r in rows], "Int64"))
+            yield out
 
-    return docs.select("doc_id", "text").mapInPandas(tidy(run), PIECES + (", ids binary" if with_ids else ""))
+    return for_pandas(docs, "text").mapInPandas(tidy(run), PIECES + (", ids binary" if with_ids else ""))
 
 
 class Lengths:
@@ -166,15 +168,16 @@ def packed(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = thin.join(bases, ["length", "_bucket"]).withColumn("_rank", F.col("_base") + rank - 1).select(*pieces.columns, "_rank")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            rank = df.pop("_rank").to_numpy(np.int64)
-            own = df["length"].to_numpy(np.int64) * RANKS + rank
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, rank = batch.columns
+            own = batch.column("length").to_numpy() * RANKS + rank.to_numpy()
             at = np.searchsorted(key, own, "right") - 1
-            yield df.assign(sequence_id=first[at] + own - key[at], offset=offset[at])
+            names = [*batch.schema.names[:-1], "sequence_id", "offset"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(first[at] + own - key[at]), pa.array(offset[at])], names)
 
     schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return ranked.mapInPandas(tidy(run), schema)
+    return ranked.mapInArrow(tidy(run), schema)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityloom.llm.common import table, tidy
+from cityloom.llm.common import for_pandas, ids_of, table, tidy
 
 # Fixed values of the contract: the base patterns, and what a match must have.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -108,10 +108,10 @@ def scanned(docs: DataFrame) -> DataFrame:
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
                 rows.append((*n, len(more), hashlib.sha256(written(base).encode()).hexdigest(), written(base + more)))
             out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
-            out.insert(0, "doc_id", df["doc_id"].astype("Int64").values)
+            out.insert(0, "doc_id", pd.array(ids_of(df), "Int64"))
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
+    return for_pandas(docs, "text").mapInPandas(tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
 
 
 MASK = "[secret]"

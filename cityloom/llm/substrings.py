@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cityloom.llm.common import settled, table, tidy
+from cityloom.llm.common import for_pandas, ids_of, settled, table, tidy
 from cityloom.llm.jaccard import MIX, Words, mixed
 
 WINDOW = 20
@@ -286,8 +286,7 @@ def drafted(docs: DataFrame, window: int) -> DataFrame:
         words = Words()
         for df in batches:
             rows = []
-            for doc_id, nth, text, told in zip(df["doc_id"], df["nth"], df["text"], df["judged"], strict=True):
-                doc_id = None if doc_id is None or doc_id != doc_id else int(doc_id)
+            for doc_id, nth, text, told in zip(ids_of(df), df["nth"], df["text"], df["judged"], strict=True):
                 tokens = (text or "").encode("utf-8", "surrogatepass").split()
                 told = [] if told is None else [x if isinstance(x, dict) else x.asDict() for x in told]
                 ranges = [(x["at"], x["until"]) for x in told if x["kind"] == 1]
@@ -300,10 +299,11 @@ def drafted(docs: DataFrame, window: int) -> DataFrame:
                 h1, h2 = (Spans(h, base).of(at, at + window).view(np.int64).tolist() for base in (BASE, SECOND))
                 windows = [{"h1": a, "h2": b, "at": c} for a, b, c in zip(h1, h2, at.tolist(), strict=True)]
                 rows.append((doc_id, nth, len(tokens), None, None, text, [{"at": a, "until": b} for a, b in ranges], windows))
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"doc_id": "Int64", "n_words": "Int64", "n_removed": "Int64"})
+            out = pd.DataFrame([r[1:] for r in rows], columns=names[1:])
+            out.insert(0, "doc_id", pd.array([r[0] for r in rows], "Int64"))
+            yield out.astype({"n_words": "Int64", "n_removed": "Int64"})
 
-    return docs.mapInPandas(tidy(run), DRAFT)
+    return for_pandas(docs, "nth", "text", "judged").mapInPandas(tidy(run), DRAFT)
 
 
 def repeats_removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:

@@ -47,8 +47,10 @@ WORD_CACHE = 200_000
 TOKEN = re.compile(r"[^\W_]+(?:[@$][^\W_]+)*")
 LEET = str.maketrans("013457@$", "oieastas")
 WINDOW = 6
-QUOTES = {"“": "”", "„": "“", "«": "»", '"': '"'}
-QUOTED = re.compile(r"“[^”]{0,400}”|„[^“”]{0,400}[“”]|«[^»]{0,400}»|\"[^\"]{0,400}\"")
+#: Opening quotation signs and what closes them; straight signs take turns within a paragraph.
+QUOTES = {"“": "”", "„": "“”", "«": "»", '"': '"'}
+SIGNS = re.compile(r"[“”„«»\"]|\n\s*\n")
+STEPS = 500_000
 REPORTING = frozenset(
     "said says say wrote writes quoted quote quotes called calls according reported reports term word insult slur sagte sagt schrieb zitat nannte nennt "
     "laut dit disait écrit cite citation appelle selon dijo dice escribió cita llamó llama según".split()
@@ -160,6 +162,22 @@ def chosen(counts: DataFrame) -> tuple[dict[str, float], int, int]:
 # --- automaton --------------------------------------------------------------------------------------------------------
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """The places of what stands in quotation marks, in one pass, however long it is. What is never closed is no quotation."""
+    out: list[tuple[int, int]] = []
+    opened: dict[str, int] = {}  # closing sign -> where its quotation began
+    for m in SIGNS.finditer(text):
+        sign = m.group()
+        if sign in opened:
+            out.append((start := opened[sign], m.end()))
+            opened = {k: v for k, v in opened.items() if v != start}
+        elif sign in QUOTES:
+            opened |= dict.fromkeys(QUOTES[sign], m.start())
+        elif sign[0] == "\n":
+            opened.pop('"', None)
+    return out
+
+
 def edits(term: str) -> int:
     n = len(term.rstrip("*"))
     return 0 if n < 5 or term.endswith("*") and n < 6 else 1 if n < 9 else 2
@@ -263,6 +281,8 @@ class Scorer:
         words, cache = TOKEN.findall(text.lower()), self.cache
         if len(cache) > WORD_CACHE:
             cache.clear()
+        if len(self.automaton.steps) > STEPS:  # states are made as words need them; a worker keeps so many
+            self.automaton = Automaton(self.terms)
         hits = set()
         for w in set(words):
             if w not in cache:
@@ -278,7 +298,7 @@ class Scorer:
             return len(TOKEN.findall(text)), {}, []
         low = text.lower()
         tokens = list(TOKEN.finditer(low))
-        quoted = [m.span() for m in QUOTED.finditer(low)] if any(c in low for c in QUOTES) else []
+        quoted = quotations(low) if any(c in low for c in QUOTES) else []
         out: dict[str, float] = {}
         for i, _, e, term in hits:
             near = {t.group() for t in tokens[max(0, i - WINDOW) : i + WINDOW + 1]}
@@ -375,14 +395,14 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
 def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """The named columns of docs, score and predicted."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.terms, model.ignored)
-        for df in batches:
-            scores = [model.score(*scorer.counts(t or "")[:2]) for t in df["_scored"]]
-            yield df.drop(columns="_scored").assign(score=scores)
+        for batch in batches:
+            scores = [model.score(*scorer.counts(t or "")[:2]) for t in batch.columns[-1].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    out = docs.select(*columns, F.col("text").alias("_scored")).mapInPandas(tidy(run), f"{fields}, score double")
+    out = docs.select(*columns, F.col("text").alias("_scored")).mapInArrow(tidy(run), f"{fields}, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
