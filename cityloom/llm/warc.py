@@ -252,6 +252,7 @@ def read_index(packages: DataFrame) -> DataFrame:
 
 RECORDS = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 READ_AT_ONCE = 4 << 20
+TASK_BYTES = 4 << 20
 
 
 def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -284,9 +285,15 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
+def read_packages(packages: DataFrame) -> DataFrame:
+    """The records of a settled table of packages (package, records, bytes). Rows of few bytes that stand for much work are dealt out by
+    number, which adaptive execution leaves as it is: a task for each TASK_BYTES of packages."""
+    many, size = packages.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    index = read_index(packages.repartition(max(1, many)))
+    return read_records(index.repartition(max(1, -(-size // TASK_BYTES)), "package", F.expr(f"start div {READ_AT_ONCE}")))
+
+
 def op1_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = settled(write_packages(table(spark, sf_dir, "pages"), new_path(spark, "warc")), "packages")
-    # one row a package: dealt out, so that reading is as wide as writing was
-    index = read_index(packages.repartition("package"))
-    records = read_records(index.repartition("package", F.expr("start div 4194304")))
+    records = read_packages(packages)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
