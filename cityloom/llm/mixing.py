@@ -4,14 +4,19 @@ Each source's documents are laid end to end as a string of words and cut into bl
 source a share of all words; no source is read more often than `most` times, and what that leaves over is shared again by
 weight. The words a source owes become slots: whole passes over its blocks, then a part of one more pass whose last slot is
 cut, so that the quota is met to the word. Within a pass, slot k reads block perm(k), perm being a pseudorandom permutation
-of the source and the pass. A permutation of all slots deals them to output shards of equal length: the source counts of a
-shard are a multinomial draw under the condition that all shards together meet the quotas (an unconditioned draw would miss
-each by about the root of its slots). Slots and blocks are joined by (source, block index); no source is one task's load.
+of the source and the pass.
+
+Output shards have SLOTS_PER_SHARD slots, the last one what is left. Each slot of a shard draws its source, so a shard's source
+counts are a multinomial draw. Over all shards such draws miss every quota by about the root of its slots; so sources drawn too
+often give back evenly spaced ones of their slots, and sources drawn too rarely get these, permuted. What is then a source's
+n-th slot, counted through the shards, is its slot n above. Slots and blocks are joined by (source, block index); no source is
+one task's load, and nothing runs over all slots or shards in one task but counts of a source by shard.
 
 Documents lie in their source in the order (bucket of the id's hash, id), so offsets are prefix sums over a bounded number of
 buckets and then inside one bucket.
 
-Cases: null or blank texts have no words and are taken 0 times; a null source is a source of its own, the last; repeated
+Cases: null or blank texts have no words and are taken 0 times; a null source is a source of its own, the last; rows without
+doc_id lie in the order of their texts' hashes; repeated
 rows count as often as they stand; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
@@ -21,14 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cityloom.llm.common import table, word_count
+from cityloom.llm.common import settled, table, word_count
 
 BLOCK = 1024
 MOST = 3
-BUCKETS = 1024
+BUCKET_ROWS, MOST_BUCKETS = 256, 65_536
 SLOTS_PER_SHARD = 4096
 ROUNDS = 32
-CHUNK = 4096
 
 
 def permuted(x: str, n: str, *seed: str) -> Column:
@@ -45,10 +49,13 @@ def laid_out(docs: DataFrame, cols: list, block: int = BLOCK, most: int = MOST)
         F.xxhash64("text").alias("print"),
         word_count(F.col("text")).alias("size"),
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source"))).alias("_source"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("_bucket"),
+        F.coalesce("doc_id", F.xxhash64("text")).alias("_spread"),
     )
+    rows = settled(rows, "sizes")  # words are counted once
+    buckets = min(MOST_BUCKETS, max(1, rows.count() // BUCKET_ROWS))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_spread"), F.lit(buckets)).cast("int")).drop("_spread")
     sums = rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("_n"))
-    sources = targets(sums.groupBy("_source").agg(F.sum("_n").alias("source_size")), block, most)
+    sources = settled(targets(sums.groupBy("_source").agg(F.sum("_n").alias("source_size")), block, most), "sources")
     before = W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = sums.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = W.partitionBy("_source", "_bucket").orderBy("doc_id", "print").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -79,30 +86,69 @@ def targets(sizes: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame
     return s.withColumn("all_slots", F.sum("slots").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).drop("_cap", "_at", "_level", "weight")
 
 
+def holder(x: str, firsts: str) -> str:
+    """The place of the last of the ascending array firsts, which begins with 0, that is not above x."""
+    return f"aggregate(sequence(1, 40), 0L, (at, k) -> if(at + shiftleft(1L, 40 - k) < size({firsts}) and {firsts}[cast(at + shiftleft(1L, 40 - k) as int)] <= {x}, at + shiftleft(1L, 40 - k), at))"
+
+
+def drawn(sources: DataFrame, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """sources (sid, slots, first_slot, all_slots) -> shard, sid, n: the slots of each output shard that each source gets. A shard's counts
+    sum to its length, a source's to its slots."""
+    spark = sources.sparkSession
+    total = sources.agg(F.coalesce(F.max("all_slots"), F.lit(0))).first()[0]  # one number
+    # sids count from 0 without gaps, so a place in the array is a sid
+    firsts = sources.agg(F.transform(F.array_sort(F.collect_list(F.struct("sid", "first_slot"))), lambda s: s["first_slot"]).alias("f"))
+    draw = spark.range(total).withColumn("f", firsts.scalar())
+    # an empty source has no slots and the next one's first slot: the last place that isn't above is never it
+    draw = draw.selectExpr(f"id div {per_shard} as shard", f"{holder(f'pmod(xxhash64({chr(39)}draw{chr(39)}, id), {max(total, 1)}L)', 'f')} as sid")
+    counts = settled(draw.groupBy("shard", "sid").agg(F.count("*").alias("n")), "draw")
+    sums = counts.groupBy("sid").agg(F.sum("n").alias("got"))
+    told = sources.select(F.col("sid").cast("long").alias("sid"), "slots").join(sums, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    told = told.withColumns({"over": F.greatest(F.col("got") - F.col("slots"), F.lit(0)), "under": F.greatest(F.col("slots") - F.col("got"), F.lit(0))})
+    earlier = W.orderBy("sid").rowsBetween(W.unboundedPreceding, -1)
+    told = told.withColumns({c: F.coalesce(F.sum(x).over(earlier), F.lit(0)) for c, x in (("over_first", "over"), ("under_first", "under"))})
+    told = settled(told, "told")  # a row a source
+    # of a source's `got` slots, counted through the shards, those give way at which floor(i * over / got) rises
+    before = W.partitionBy("sid").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    met = counts.join(told, "sid").withColumn("_i", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    met = met.withColumns({"_a": F.expr("cast(_i as decimal(38, 0)) * over div got"), "_b": F.expr("cast(_i + n as decimal(38, 0)) * over div got")})
+    kept = met.selectExpr("shard", "sid", "n - (_b - _a) as n")
+    unders = told.agg(F.transform(F.array_sort(F.collect_list(F.struct("sid", "under_first"))), lambda s: s["under_first"]).alias("u"), F.sum("over").alias("given"))
+    free = met.where("_b > _a").selectExpr("shard", "explode(sequence(over_first + _a, over_first + _b - 1)) as i")
+    free = free.withColumn("u", unders.select("u").scalar()).withColumn("given", unders.select("given").scalar())
+    free = free.withColumn("i", permuted("i", "given", "'free'")).selectExpr("shard", f"{holder('i', 'u')} as sid", "1L as n")
+    return kept.unionAll(free).groupBy("shard", "sid").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def slots(sources: DataFrame, block: int = BLOCK, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
     """A row a slot: shard, place in it, sid, pass, block, and the words read of the block from its start."""
-    chunks = sources.where("slots > 0").withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")))
-    each = chunks.repartition("sid", "_chunk").withColumn("_j", F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least((_chunk + 1) * {CHUNK}, slots) - 1)")))
-    each = each.withColumns({"pass": F.expr("_j div blocks"), "_p": F.expr("_j % blocks")})
+    counts = settled(drawn(sources, per_shard), "counts")
+    through = W.partitionBy("sid").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("shard").orderBy("sid").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("shard")
+    each = counts.withColumns({"_first": F.coalesce(F.sum("n").over(through), F.lit(0)), "_before": F.coalesce(F.sum("n").over(inside), F.lit(0)), "_length": F.sum("n").over(whole)})
+    each = each.join(sources.drop("first_slot", "all_slots"), "sid").withColumn("_k", F.explode(F.expr("sequence(0L, n - 1)")))
+    each = each.withColumn("_j", F.col("_first") + F.col("_k")).withColumns({"pass": F.expr("_j div blocks"), "_p": F.expr("_j % blocks")})
     each = each.withColumn("block", F.when(F.col("_p") < F.col("whole"), permuted("_p", "whole", "sid", "pass")).otherwise(F.col("_p")))
     here = f"if(block < whole, {block}L, tail)"
     each = each.withColumn("words", F.expr(f"least({here}, if(pass < passes, {here}, rest - _p * {block}))")).withColumn("full", F.expr(f"words = {here}"))
-    place = permuted("(first_slot + _j)", "all_slots", "'shard'")
-    return each.withColumn("_g", place).selectExpr(f"_g div {per_shard} as shard", f"_g % {per_shard} as place", "sid", "pass", "block", "words", "full")
+    each = each.withColumn("place", permuted("(_before + _k)", "_length", "'place'", "shard"))
+    return each.select("shard", "place", "sid", "pass", "block", "words", "full")
 
 
 def taken_parts(docs: DataFrame, cols: list, block: int = BLOCK, most: int = MOST) -> DataFrame:
-    """Every row's cols, size, sid, source_size, target, start, and parts: its word ranges lo to hi - 1 and how often the mix takes each."""
+    """Every row's cols, size, sid, source_size, target, start, first_shard: the first output
+    shard that reads of it, and parts: its word ranges lo to hi - 1 and how often the mix takes each."""
     rows, sources = laid_out(docs, cols, block, most)
-    read = slots(sources, block).groupBy("sid", "block").agg(F.sum(F.col("full").cast("long")).alias("_whole"), F.coalesce(F.max(F.when(~F.col("full"), F.col("words"))), F.lit(0)).alias("_cut"))
+    read = slots(sources, block).groupBy("sid", "block").agg(F.sum(F.col("full").cast("long")).alias("_whole"), F.coalesce(F.max(F.when(~F.col("full"), F.col("words"))), F.lit(0)).alias("_cut"), F.min("shard").alias("_shard"))
     names = rows.columns
     spans = rows.withColumn("block", F.explode(F.expr(f"if(size > 0, sequence(start div {block}, (start + size - 1) div {block}), array(-1L))")))
     spans = spans.withColumns({"_lo": F.expr(f"greatest(start, block * {block}) - start"), "_hi": F.expr(f"least(start + size, (block + 1) * {block}) - start")})
-    met = spans.join(read, ["sid", "block"], "left").withColumn("_mid", F.expr(f"greatest(_lo, least(_hi, block * {block} + coalesce(_cut, 0) - start))"))
+    met = spans.join(read.hint("merge"), ["sid", "block"], "left").withColumn("_mid", F.expr(f"greatest(_lo, least(_hi, block * {block} + coalesce(_cut, 0) - start))"))
     both = "filter(array(named_struct('lo', _lo, 'hi', _mid, 'times', coalesce(_whole, 0) + 1), named_struct('lo', _mid, 'hi', _hi, 'times', coalesce(_whole, 0))), p -> p.hi > p.lo and p.times > 0)"
     # (sid, start) is a row's own; rows without words share it, and are kept apart by counting them
     key = [c for c in names if c not in ("target", "source_size")]
-    out = met.groupBy(*key).agg(F.first("target").alias("target"), F.first("source_size").alias("source_size"), F.flatten(F.collect_list(F.when(F.col("block") >= 0, F.expr(both)))).alias("parts"), F.count(F.when(F.col("block") < 0, 1)).alias("_same"))
+    out = met.groupBy(*key).agg(F.first("target").alias("target"), F.first("source_size").alias("source_size"), F.flatten(F.collect_list(F.when(F.col("block") >= 0, F.expr(both)))).alias("parts"), F.min("_shard").alias("first_shard"), F.count(F.when(F.col("block") < 0, 1)).alias("_same"))
     return out.withColumn("_again", F.explode(F.expr("sequence(1, greatest(_same, 1))"))).drop("_again", "_same")
 
 
@@ -132,4 +178,4 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = taken_parts(table(spark, sf_dir, "documents"), ["doc_id"])
     taken = F.expr("aggregate(parts, 0L, (a, p) -> a + (p.hi - p.lo) * p.times)")
-    return parts.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "sid", "start")
+    return parts.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "sid", "start", "first_shard")

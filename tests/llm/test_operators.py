@@ -130,6 +130,29 @@ def test_mixed_documents(docs, none):
     assert mixing.mixed_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("per_shard", [5, 16, 4096])
+def test_mix_draws(docs, spark, per_shard):
+    _, sources = mixing.laid_out(docs, ["doc_id"], 64)
+    want = {r["sid"]: r for r in sources.collect()}
+    counts = mixing.drawn(sources, per_shard).toPandas()
+    total = sum(r["slots"] for r in want.values())
+    assert counts.groupby("sid").n.sum().to_dict() == {s: r["slots"] for s, r in want.items() if r["slots"]}
+    length = counts.groupby("shard").n.sum().to_dict()
+    assert length == {h: min(per_shard, total - h * per_shard) for h in range(-(-total // per_shard))}
+    if per_shard == 16 and len(length) > 4:  # drawn: the shards' counts differ by more than dealing in turn would let them
+        big = counts[counts.sid == max(want, key=lambda s: want[s]["slots"])].n
+        assert big.max() - big.min() > 1
+    got = mixing.slots(sources, 64, per_shard).toPandas()
+    assert all(sorted(g.place) == list(range(length[h])) for h, g in got.groupby("shard"))
+    for sid, g in got.groupby("sid"):
+        assert g.words.sum() == want[sid]["quota"]
+        for k, one in g.groupby("pass"):  # a whole pass reads every block once
+            if k < want[sid]["passes"]:
+                assert sorted(one.block) == list(range(want[sid]["blocks"]))
+            else:
+                assert one.block.is_unique
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         got = spark.range(n).select(mixing.permuted("id", f"{n}L", "1", "2").alias("p")).toPandas().p
