@@ -427,6 +427,6 @@ def test_search(docs, none, monkeypatch, sizes):
             scores += [(-s, d)] if s > 0 else []
         want = sorted(scores)[:6]
         mine = got[got["query"] == i].sort_values("rank")
-        assert np.allclose(mine.score, [-s for s, _ in want], rtol=0, atol=2e-6)
-        assert set(mine.doc_id[mine.score > -want[-1][0] + 1e-5] if want else []) == {d for s, d in want if -s > -want[-1][0] + 1e-5}
+        assert np.allclose(mine.score, [-s for s, _ in want], rtol=0, atol=1e-9)
+        assert set(mine.doc_id[mine.score > -want[-1][0] + 1e-9] if want else []) == {d for s, d in want if -s > -want[-1][0] + 1e-9}
     assert search.top_k(none, none).count() == 0
