@@ -9,12 +9,14 @@ groups to meet one of the next smaller size.
 One tree over all documents would compare each with much of it, as maxima over many points bound little. So trees are built
 in blocks: two sets that are similar enough share a shingle among the first n - ceil(t n) + 1 of each, in any order that
 holds for all sets. The order puts shingles from rarely hit hash buckets first (counted over all documents), so what very
-many documents share makes no block. Equal sets are one node from the start.
+many documents share makes no block. Equal sets are one node from the start, and blocks of the same members are one block.
+Blocks say which sets may meet at all; every pair that is verified comes out of a tree.
 
-Only connectedness is asked for, so links that add nothing are not made: in each block all members are first compared with
-one of them; blocks whose members are then all connected are done; in what remains every pair that is not yet connected and
-that the trees let through is verified. No link between different components is lost. Large blocks are cut into chunks,
-and chunk pairs are tasks of their own.
+Only connectedness is asked for, so links that add nothing are not made. First the trees of each block give every member's best
+partner by the bound, and its pair with the block's most connected member if the bound lets it through; large blocks are cut into
+chunks then, with that member in each. These pairs are verified. Blocks whose trees let through more than that, and those in
+chunks, are looked at again if their members are not all connected by now: every pair of chunks is joined by trees, and every pair
+of sets that is not yet connected and that the bound lets through is verified. No link between different components is lost.
 
 Cases: null, empty and blank texts have the empty set, which links with nothing; fewer words than a shingle's are one
 shingle; rows that repeat a doc_id are each judged by their text; an empty table gives an empty result; further columns
@@ -37,9 +39,10 @@ from cityloom.llm.components import components
 
 LEAST_GROUPS = 64
 ORDER_BITS = 16
-CHUNK = 2048
+CHUNK = 128
 LEAF = 32
 KEPT = 200_000
+STRIP = 16_384
 #: Sets to be looked up that are sent to every task, at some 40 bytes each.
 BROADCAST_ROWS = 400_000
 FULL, WITHOUT_BOUND = 15, 120
@@ -117,28 +120,28 @@ def bucket_order(docs: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-SETS = "doc_id long, n long, s1 long, s2 long, point binary, first array<long>"
+SETS = "doc_id long, print long, n long, s1 long, s2 long, point binary, first array<long>"
 
 
 def described(docs: DataFrame, width: int, percent: int, order: np.ndarray) -> DataFrame:
-    """Each document's number of shingles, the set's hash, its point and its first shingles in the common order."""
+    """Each document's hash of the text, number of shingles, the set's hash, its point and its first shingles in the common order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for df in batches:
             rows = []
-            for doc_id, text in zip(ids_of(df), df["text"], strict=True):
+            for doc_id, told, text in zip(ids_of(df), df["print"].tolist(), df["text"], strict=True):
                 s = shingles(text, width, words, order)
                 n = len(s)
                 key = xxhash.xxh128_digest(s.tobytes())
                 s1, s2 = np.frombuffer(key, np.int64).tolist()
                 point = point_of(s)
-                rows.append((doc_id, n, s1, s2, point, s[: first_ones(n, percent)].view(np.int64) if n else s.view(np.int64)))
-            out = pd.DataFrame([r[1:] for r in rows], columns=["n", "s1", "s2", "point", "first"])
+                rows.append((doc_id, told, n, s1, s2, point, s[: first_ones(n, percent)].view(np.int64) if n else s.view(np.int64)))
+            out = pd.DataFrame([r[1:] for r in rows], columns=["print", "n", "s1", "s2", "point", "first"])
             out.insert(0, "doc_id", pd.array([r[0] for r in rows], "Int64"))
             yield out
 
-    return for_pandas(docs, "text").mapInPandas(tidy(run), SETS)
+    return for_pandas(docs.withColumn("print", F.xxhash64("text")), "print", "text").mapInPandas(tidy(run), SETS)
 
 
 # --- trees ------------------------------------------------------------------------------------------------------------
@@ -165,18 +168,32 @@ class Tree:
         half = -(-len(rows) // (2 * LEAF)) * LEAF
         return np.concatenate([self.packed(points, n, rows[:half], depth + 1), self.packed(points, n, rows[half:], depth + 1)])
 
-    def near(self, point: np.ndarray, n: int, percent: int) -> np.ndarray:
-        """Numbers of the points whose bound, and size, allow the similarity."""
-        nodes = np.arange(len(self.levels[-1][1]))
+    def join(self, points: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, bound): which of the given points meets which point of the tree, as far as bounds and sizes allow the similarity."""
+        top = len(self.levels[-1][1])
+        i, node = np.repeat(np.arange(len(points)), top), np.tile(np.arange(top), len(points))
         for depth in range(len(self.levels) - 1, -1, -1):
-            most, least, largest = (x[nodes] for x in self.levels[depth])
-            bound = bounds(most, point)
-            nodes = nodes[(bound >= needed(n, np.maximum(least, -(-percent * n // 100)), percent)) & (100 * n >= percent * least) & (100 * largest >= percent * n)]
+            most, least, largest = self.levels[depth]
+            allowed = (100 * n[i] >= percent * least[node]) & (100 * largest[node] >= percent * n[i])
+            i, node = i[allowed], node[allowed]
+            ok = pair_bounds(most, node, points, i) >= needed(n[i], np.maximum(least[node], -(-percent * n[i] // 100)), percent)
+            i, node = i[ok], node[ok]
             size = len(self.levels[depth - 1][1]) if depth else len(self.n)
-            nodes = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
-            nodes = nodes[nodes < size]
-        bound = bounds(self.points[nodes], point)
-        return self.order[nodes[(bound >= needed(n, self.n[nodes], percent)) & (100 * np.minimum(n, self.n[nodes]) >= percent * np.maximum(n, self.n[nodes]))]]
+            i, node = np.repeat(i, LEAF), (node[:, None] * LEAF + np.arange(LEAF)).ravel()
+            i, node = i[node < size], node[node < size]
+        allowed = 100 * np.minimum(n[i], self.n[node]) >= percent * np.maximum(n[i], self.n[node])
+        i, node = i[allowed], node[allowed]
+        bound = pair_bounds(self.points, node, points, i)
+        ok = bound >= needed(n[i], self.n[node], percent)
+        return i[ok], self.order[node[ok]], bound[ok]
+
+
+def pair_bounds(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """bounds() of x[i] and y[j], pair by pair, some at a time."""
+    out = np.empty(len(i), np.int32)
+    for a in range(0, len(i), STRIP):
+        out[a : a + STRIP] = np.minimum(x[i[a : a + STRIP]], y[j[a : a + STRIP]]).sum(axis=1, dtype=np.int32)
+    return out
 
 
 def point_of(s: np.ndarray) -> bytes:
@@ -202,50 +219,96 @@ def bounds(points: np.ndarray, point: np.ndarray) -> np.ndarray:
     return np.minimum(points, point).sum(axis=1, dtype=np.int32)
 
 
-def runs(df: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
-    change = np.flatnonzero((df[keys] != df[keys].shift()).any(axis=1).to_numpy())
-    return list(zip(change.tolist(), [*change[1:].tolist(), len(df)], strict=True))
-
-
-def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """rows (block, one, two, side, id, component, n, point) sorted by block and chunk pair -> pairs (a, b) the trees let through."""
-    keys = ["block", "one", "two"]
-
-    def pairs(df: pd.DataFrame) -> list[tuple[int, int]]:
-        ids, comp, n, side = (df[c].to_numpy(np.int64) for c in ("id", "component", "n", "side"))
-        if len(np.unique(comp)) < 2:
-            return []
-        one, two = int(df["one"].iloc[0]), int(df["two"].iloc[0])
-        points, size = df["point"].to_numpy(), df["point"].map(len).to_numpy()
-        out: set[tuple[int, int]] = set()
-
-        def meet(left: np.ndarray, right: np.ndarray, fold: bool) -> None:
-            if not len(left) or not len(right):
-                return
-            tree, own = Tree(as_points(points[right], fold), n[right]), as_points(points[left])
-            for k, i in enumerate(left.tolist()):
-                j = right[tree.near(own[k], int(n[i]), percent)]
-                j = j[comp[j] != comp[i]]
-                out.update((min(ids[i], x), max(ids[i], x)) for x in ids[j].tolist())
-
-        for s in np.unique(size).tolist():
-            meet(np.flatnonzero((side == one) & (size == s)), np.flatnonzero((side == two) & (size == s)), False)
-            meet(np.flatnonzero((side == one) & (size == s)), np.flatnonzero((side == two) & (size == 2 * s)), True)
-            if one != two:
-                meet(np.flatnonzero((side == two) & (size == s)), np.flatnonzero((side == one) & (size == 2 * s)), True)
-        return list(out)
+def tree_pairs(points: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, bound) with i among left, j among right and i <> j that a tree lets through; points of neighbouring sizes meet folded. Where left
+    is right each pair comes once."""
+    size = np.array([len(x) for x in points])
+    found = []
+
+    def meet(left: np.ndarray, right: np.ndarray, fold: bool, once: bool) -> None:
+        if len(left) and len(right):
+            i, j, bound = Tree(as_points(points[right], fold), n[right]).join(as_points(points[left]), n[left], percent)
+            i, j = left[i], right[j]
+            ok = i < j if once else i != j
+            found.append((i[ok], j[ok], bound[ok]))
+
+    same = left is right
+    for s in np.unique(size[left]).tolist():
+        own = left[size[left] == s]
+        meet(own, own if same else right[size[right] == s], False, same)
+        meet(own, right[size[right] == 2 * s], True, False)
+    if not same:
+        for s in np.unique(size[right]).tolist():
+            meet(right[size[right] == s], left[size[left] == 2 * s], True, False)
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def by_runs(rows: DataFrame, keys: list[str], judge, schema: str) -> DataFrame:
+    """judge(columns of a run as arrays) -> rows, for each run of equal keys; rows must be sorted by them within partitions."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def judged(df: pd.DataFrame, spans: list[tuple[int, int]]) -> pd.DataFrame:
+            columns = {c: df[c].to_numpy() for c in df.columns}
+            out = [judge({c: x[a:b] for c, x in columns.items()}) for a, b in spans]
+            return pd.DataFrame({c: pd.array(np.concatenate([x[k] for x in out]) if out else [], "Int64") for k, c in enumerate(names)})
+
         rest = None
         for df in batches:
             df = df if rest is None else pd.concat([rest, df], ignore_index=True)
-            spans = runs(df, keys)
-            rest = df.iloc[spans[-1][0] :].reset_index(drop=True)  # its block may go on in the next batch
-            yield pd.DataFrame([p for a, b in spans[:-1] for p in pairs(df.iloc[a:b])], columns=["a", "b"], dtype="int64")
-        if rest is not None:
-            yield pd.DataFrame(pairs(rest), columns=["a", "b"], dtype="int64")
+            if not len(df):
+                continue
+            cut = np.zeros(len(df) - 1, bool)
+            for c in keys:
+                v = df[c].to_numpy()
+                cut |= v[1:] != v[:-1]
+            edge = [0, *(np.flatnonzero(cut) + 1).tolist(), len(df)]
+            yield judged(df, list(zip(edge[:-2], edge[1:-1], strict=True)))
+            rest = df.iloc[edge[-2] :].reset_index(drop=True)  # its run may go on in the next batch
+        if rest is not None and len(rest):
+            yield judged(rest, [(0, len(rest))])
+
+    return rows.mapInPandas(tidy(run), schema)
+
+
+def spanning_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (block, chunk, chunks, id, n, lead, point) sorted by block and chunk -> pairs (a, b) to verify first, again 0; and blocks (a) to be
+    looked at again, again 1."""
+
+    def judge(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, first = np.unique(x["id"], return_index=True)  # the lead stands in its own chunk twice
+        n, points, lead = x["n"][first], x["point"][first], x["lead"][0]
+        every = np.arange(len(ids))
+        i, j, bound = tree_pairs(points, n, every, every, percent)
+        u, v, share = np.r_[i, j], np.r_[j, i], np.r_[bound, bound] / (n[np.r_[i, j]] + n[np.r_[j, i]])
+        order = np.lexsort((v, -share, u))
+        u, v = u[order], v[order]
+        keep = np.r_[True, u[1:] != u[:-1]][: len(u)] | (ids[u] == lead)
+        pairs = np.unique(np.stack([np.minimum(u, v)[keep], np.maximum(u, v)[keep]]), axis=1)
+        again = x["block"][: int(x["chunks"][0] > 1 or pairs.shape[1] < len(i))]
+        no, none = np.zeros(pairs.shape[1], np.int64), np.zeros(len(again), np.int64)
+        return np.r_[ids[pairs[0]], again], np.r_[ids[pairs[1]], none], np.r_[no, none + 1]
+
+    return by_runs(rows, ["block", "chunk"], judge, "a long, b long, again long")
+
+
+def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (block, one, two, side, id, component, n, point) sorted by block and chunk pair -> pairs (a, b) the trees let through."""
+
+    def judge(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        ids, comp, side, one, two = x["id"], x["component"], x["side"], x["one"][0], x["two"][0]
+        if (comp == comp[0]).all():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        left = np.flatnonzero(side == one)
+        right = left if one == two else np.flatnonzero(side == two)
+        i, j, _ = tree_pairs(x["point"], x["n"], left, right, percent)
+        ok = comp[i] != comp[j]
+        i, j = ids[i[ok]], ids[j[ok]]
+        return np.minimum(i, j), np.maximum(i, j)
 
-    return rows.mapInPandas(tidy(run), "a long, b long")
+    return by_runs(rows, ["block", "one", "two"], judge, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -265,28 +328,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").mapInPandas(tidy(run), "a long, b long")
 
 
-def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their sizes and points allow."""
-    first = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
-    second = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            ok = []
-            for x, y in zip(df["pa"], df["pb"], strict=True):
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                ok.append(int(bounds(as_points([x]), as_points([y], len(y) > len(x)))[0]))
-            yield df.loc[np.array(ok, np.int64) >= needed(df["na"].to_numpy(), df["nb"].to_numpy(), percent), ["a", "b"]]
-
-    met = pairs.join(first, "a").join(second, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return met.mapInPandas(tidy(run), "a long, b long")
-
-
 # --- join -------------------------------------------------------------------------------------------------------------
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id connected), a row a document."""
+    return labelled_texts(docs, width, percent).drop("print")
+
+
+def labelled_texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """As jaccard_components, with print, the text's hash: of several texts of a doc_id each has its own component."""
     docs = docs.select("doc_id", "text")
     order = bucket_order(docs, width)
     found = settled(described(docs, width, percent, order), "sets")
@@ -296,14 +347,14 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     # one row a set: that of its least document
     one = found.select("doc_id", *key, "first").join(nodes.select("n", F.col("id").alias("s1"), "s2", F.col("low").alias("doc_id")), ["doc_id", *key]).dropDuplicates(["doc_id", *key])
     tokens = one.select(F.col("s1").alias("id"), "n", F.explode("first").alias("token"))
-    by_token = W.partitionBy("token")
-    shared = tokens.withColumn("size", F.count("*").over(by_token)).withColumn("print", F.sum(F.xxhash64("id") % (1 << 40)).over(by_token)).where("size > 1")
-    shared = settled(shared, "shared")
-    # a block's first member to compare with: that which shares most, as a text does that the others are copies of
+    counts = tokens.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("id") % (1 << 40)).alias("print")).where("size > 1")
+    shared = settled(tokens.join(counts.hint("merge"), "token"), "shared")
+    # blocks with the same members are one; its lead is the member that shares most, as a text does that the others are copies of
     common = shared.groupBy("id").agg(F.count("*").alias("common"))
-    leads = shared.join(common, "id").groupBy("token").agg(F.max(F.struct("common", "id", "n")).alias("lead")).select("token", F.col("lead.id").alias("lead"), F.col("lead.n").alias("_n"))
-    alike = F.expr(f"100 * least(n, _n) >= {percent} * greatest(n, _n)")
-    pairs = shared.join(leads, "token").where((F.col("id") != F.col("lead")) & alike).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
+    alike = shared.groupBy("size", "print").agg(F.min("token").alias("token")).select("token")
+    blocks = settled(shared.join(alike.hint("merge"), "token", "left_semi").select(F.col("token").alias("block"), "id", "n", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "blocks")
+    leads = blocks.join(common.hint("merge"), "id").groupBy("block").agg(F.max(F.struct("common", "id", "n", "chunks")).alias("lead"))
+    leads = settled(leads.select("block", F.col("lead.id").alias("id"), F.col("lead.n").alias("n"), F.col("lead.chunks").alias("chunks")), "leads")
     points = nodes.select("id", "n", "point")
     several = bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1))
 
@@ -323,22 +374,20 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
         # ids that stand on several rows: only the row whose set it is
         return settled(sets.mapInPandas(tidy(checked), "id long, shingles binary").dropDuplicates(["id"]) if several else sets, "shingles")
 
-    star = settled(bounded(pairs, points, percent), "star")
-    links = settled(verified(star, sets_of(star), percent), "links")
+    chunk = F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("chunks")).cast("int")
+    members = blocks.withColumn("chunk", chunk).unionAll(leads.where("chunks > 1").select("block", "id", "n", "chunks", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk")))
+    members = members.join(leads.select("block", F.col("id").alias("lead")).hint("merge"), "block").join(points.drop("n").hint("merge"), "id")
+    spread = members.repartition("block", "chunk").sortWithinPartitions("block", "chunk")
+    seen = settled(spanning_pairs(spread, percent), "seen")
+    first = settled(seen.where("again = 0").select("a", "b").distinct(), "pairs")
+    links = settled(verified(first, sets_of(first), percent), "links")
     label = settled(components(links), "components")
-    # blocks with the same members need one look; members all connected need none
-    labelled = shared.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    blocks = labelled.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.first("size").alias("size"), F.first("print").alias("print")).where("_low <> _high")
-    blocks = blocks.groupBy("size", "print").agg(F.min("token").alias("token")).select("token")
-    # members without a neighbour in size have no partner there; only the others need their points
-    by_size = W.partitionBy("token").orderBy("n", "id")
-    less, more = F.coalesce(F.lag("n").over(by_size), F.lit(0)), F.coalesce(F.lead("n").over(by_size), F.lit(1 << 50))
-    rest = labelled.join(blocks, "token").withColumns({"_less": less, "_more": more}).where(f"100 * _less >= {percent} * n or 100 * n >= {percent} * _more")
-    rest = rest.drop("_less", "_more", "n").join(points, "id")
-    parts = F.ceil(F.col("size") / CHUNK).cast("int")
-    rest = rest.withColumn("_parts", parts).withColumn("side", F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("_parts")).cast("int"))
-    rest = rest.withColumn("_other", F.explode(F.expr("sequence(0, _parts - 1)")))
-    rest = rest.select(F.col("token").alias("block"), F.least("side", "_other").alias("one"), F.greatest("side", "_other").alias("two"), "side", "id", "component", "n", "point")
+    again = seen.where("again = 1").select(F.col("a").alias("block")).distinct()
+    labelled = blocks.join(again.hint("merge"), "block", "left_semi").join(label.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = settled(labelled, "labelled")
+    parted = labelled.groupBy("block").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("block")
+    rest = labelled.join(parted, "block").join(points.drop("n"), "id").withColumn("side", chunk).withColumn("_other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    rest = rest.select("block", F.least("side", "_other").alias("one"), F.greatest("side", "_other").alias("two"), "side", "id", "component", "n", "point")
     rest = rest.repartition("block", "one", "two").sortWithinPartitions("block", "one", "two")
     more = settled(block_pairs(rest, percent).distinct(), "pairs")
     more = settled(verified(more, sets_of(more), percent), "links")
@@ -346,8 +395,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     of_set = nodes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     lows = of_set.groupBy("component").agg(F.min("low").alias("component_id"))
     named = of_set.join(lows, "component").select("n", F.col("id").alias("s1"), "s2", "component_id")
-    out = found.select("doc_id", *key).join(named, key, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = found.select("doc_id", "print", *key).join(named, key, "left")
+    return out.select("doc_id", "print", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -359,9 +408,16 @@ def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group of near copies: that with the least doc_id, once. Rows without doc_id all stay."""
-    gone = jaccard_components(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
+    several = bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1))
+    found = labelled_texts(docs, width, percent)
+    if not several:
+        left = docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti")
+    else:
+        # texts are told apart by their hashes: others of the doc_id may be no copies; of several in a group that with the least hash stays
+        found = settled(found.where("n_shingles > 0 and doc_id is not null"), "found")
+        stays = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("print").alias("_stays"))
+        gone = found.join(stays, "component_id").where("doc_id <> component_id or print <> _stays").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct()
+        left = docs.join(gone, (F.col("_id") == docs["doc_id"]) & (F.col("_print") == F.xxhash64(docs["text"])), "left_anti")
         nth = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.length("text")))
         left = left.withColumn("_nth", nth).where("_nth = 1 or doc_id is null").drop("_nth")
     return left.select(*docs.columns)

@@ -331,6 +331,7 @@ def test_jaccard(docs, none, width, percent):
 
 def test_jaccard_chunks(docs, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK", 3)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)  # and the other way to fetch sets
     got = jaccard.jaccard_components(docs, 3, 50).toPandas()
     assert Counter(map(tuple, got[["doc_id", "n_shingles", "component_id"]].values.tolist())) == brute_jaccard([(r[0], r[1]) for r in rows()], 3, 50)
 
@@ -341,10 +342,10 @@ def test_tree_bounds():
     n = np.array([len(s) for s in sets])
     points = np.stack([np.bincount((s & np.uint64(63)).astype(np.int64), minlength=64) for s in sets]).astype(np.uint8)
     tree = jaccard.Tree(points, n)
-    for i, s in enumerate(sets):
-        near = set(tree.near(points[i], len(s), 40).tolist())
-        true = {j for j, t in enumerate(sets) if 100 * (c := len(np.intersect1d(s, t))) >= 40 * (len(s) + len(t) - c)}
-        assert true <= near
+    i, j, _ = tree.join(points, n, 40)
+    near = set(zip(i.tolist(), j.tolist(), strict=True))
+    true = {(a, b) for a, s in enumerate(sets) for b, t in enumerate(sets) if 100 * (c := len(np.intersect1d(s, t))) >= 40 * (len(s) + len(t) - c)}
+    assert true <= near and len(near) < len(sets) ** 2
 
 
 def test_one_of_each(docs, none):
@@ -355,6 +356,36 @@ def test_one_of_each(docs, none):
     assert jaccard.one_of_each(none).count() == 0
 
 
+def test_one_of_each_with_several_texts_of_an_id(spark):
+    base = " ".join(WORDS)
+    rows = [(1, base), (2, base), (2, "another text of this id"), (3, base + " more"), (3, base), (4, "another text of this id"), (4, None), (None, base)]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert Counter(map(tuple, got.collect())) == Counter([(1, base), (2, "another text of this id"), (4, None), (None, base)])
+
+
+def test_ids_beside_nulls(spark, tmp_path):
+    large = (1 << 53) + 1
+    df = spark.createDataFrame([(large, "alpha beta gamma delta"), (None, "alpha beta"), (None, None), (large + 2, "password=abcdef123456")], "doc_id long, text string").coalesce(1)
+    want = Counter([large, None, None, large + 2])
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert Counter(r["doc_id"] for r in packing.cut_pieces(df, packing.vocabulary_path()).collect()) == want
+    assert Counter(r["doc_id"] for r in packing.pack_documents(df, packing.vocabulary_path()).collect()) == want
+    assert Counter(r["doc_id"] for r in sharding.shard_rows(df, "doc_id", 3, ["doc_id"]).collect()) == want
+    assert Counter(r["doc_id"] for r in mixing.taken_parts(df, ["doc_id"]).collect()) == want if "source" in df.columns else True
+    assert Counter(r["doc_id"] for r in toxicity.scored(df, toxicity.fitted(df, labels), ["doc_id"]).collect()) == want
+    assert Counter(r["doc_id"] for r in jaccard.jaccard_components(df).collect()) == want
+    assert Counter(r["doc_id"] for r in substrings.repeats_removed(df).collect()) == want
+    assert Counter(r["doc_id"] for r in secrets.scanned(df).collect()) == want
+    assert {r["doc_id"] for r in search.top_k(df, df.where("doc_id is not null"), 4).collect()} == {large, None, large + 2}
+
+
+def test_quotations():
+    long = "x " * 600
+    text = f'a “{long}” b "{long}" c "open\n\n d "e" „f“ g „h” «i» “never'.replace("\\n", "\n")
+    got = [text[a:b] for a, b in toxicity.quotations(text)]
+    assert got == [f"“{long}”", f'"{long}"', '"e"', "„f“", "„h”", "«i»"]
+
+
 def brute_windows(data, window):
     out, seen = [], {}
     order = sorted(range(len(data)), key=lambda k: data[k][0])
