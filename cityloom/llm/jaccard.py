@@ -13,8 +13,8 @@ many documents share makes no block. Equal sets are one node from the start, and
 Blocks say which sets may meet at all; every pair that is verified comes out of a tree.
 
 Only connectedness is asked for, so links that add nothing are not made. First the trees of each block give every member's best
-partner by the bound, and its pair with the block's most connected member if the bound lets it through; large blocks are cut into
-chunks then, with that member in each. These pairs are verified. Blocks whose trees let through more than that, and those in
+partner by the bound; large blocks are cut into chunks, with the block's most connected member in each, whose pairs that the bound
+lets through are made too. These pairs are verified. Blocks whose trees let through more than that, and those in
 chunks, are looked at again if their members are not all connected by now: every pair of chunks is joined by trees, and every pair
 of sets that is not yet connected and that the bound lets through is verified. No link between different components is lost.
 
@@ -25,6 +25,7 @@ are ignored, whatever their names. Sets are told apart by 128 bits of hash, the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cityloom.llm.common import for_pandas, ids_of, settled, table, tidy
+from cityloom.llm.common import for_pandas, ids_of, released, settled, table, tidy
 from cityloom.llm.components import components
 
 LEAST_GROUPS = 64
@@ -279,13 +280,13 @@ def spanning_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
     def judge(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids, first = np.unique(x["id"], return_index=True)  # the lead stands in its own chunk twice
-        n, points, lead = x["n"][first], x["point"][first], x["lead"][0]
+        n, points, lead = x["n"][first], x["point"][first], np.isin(ids, x["id"][x["lead"].astype(bool)])
         every = np.arange(len(ids))
         i, j, bound = tree_pairs(points, n, every, every, percent)
         u, v, share = np.r_[i, j], np.r_[j, i], np.r_[bound, bound] / (n[np.r_[i, j]] + n[np.r_[j, i]])
         order = np.lexsort((v, -share, u))
         u, v = u[order], v[order]
-        keep = np.r_[True, u[1:] != u[:-1]][: len(u)] | (ids[u] == lead)
+        keep = np.r_[True, u[1:] != u[:-1]][: len(u)] | lead[u]
         pairs = np.unique(np.stack([np.minimum(u, v)[keep], np.maximum(u, v)[keep]]), axis=1)
         again = x["block"][: int(x["chunks"][0] > 1 or pairs.shape[1] < len(i))]
         no, none = np.zeros(pairs.shape[1], np.int64), np.zeros(len(again), np.int64)
@@ -349,12 +350,21 @@ def labelled_texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     tokens = one.select(F.col("s1").alias("id"), "n", F.explode("first").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("id") % (1 << 40)).alias("print")).where("size > 1")
     shared = settled(tokens.join(counts.hint("merge"), "token"), "shared")
-    # blocks with the same members are one; its lead is the member that shares most, as a text does that the others are copies of
-    common = shared.groupBy("id").agg(F.count("*").alias("common"))
+    # blocks with the same members are one
     alike = shared.groupBy("size", "print").agg(F.min("token").alias("token")).select("token")
-    blocks = settled(shared.join(alike.hint("merge"), "token", "left_semi").select(F.col("token").alias("block"), "id", "n", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "blocks")
-    leads = blocks.join(common.hint("merge"), "id").groupBy("block").agg(F.max(F.struct("common", "id", "n", "chunks")).alias("lead"))
-    leads = settled(leads.select("block", F.col("lead.id").alias("id"), F.col("lead.n").alias("n"), F.col("lead.chunks").alias("chunks")), "leads")
+    blocks = settled(shared.join(alike.hint("merge"), "token", "left_semi").select(F.col("token").alias("block"), "id", "n"), "blocks")
+    released(shared)
+    # sizes that may be similar lie in one class or in neighbouring ones; who has no such other in a block has no partner there
+    blocks_of = blocks.withColumn("_c", F.floor(F.log("n") / (1.0001 * max(math.log(100 / percent), 0.01))).cast("int"))
+    classes = blocks_of.groupBy("block", "_c").agg(F.count("*").alias("_m")).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_m"))).alias("_m"))
+    others = F.expr("coalesce(try_element_at(_m, _c), 0) + coalesce(try_element_at(_m, _c - 1), 0) + coalesce(try_element_at(_m, _c + 1), 0)")
+    kept = blocks_of.join(classes.hint("merge"), "block").where(others > 1)
+    size = F.expr("aggregate(map_values(_m), 0L, (a, x) -> a + x)")
+    blocks = settled(kept.select("block", "id", "n", F.ceil(size / CHUNK).cast("int").alias("chunks")), "sized")
+    # a large block's lead is the member that is in most blocks, as a text is that the others are copies of
+    common = blocks.groupBy("id").agg(F.count("*").alias("common"))
+    leads = blocks.where("chunks > 1").join(common.hint("merge"), "id").groupBy("block").agg(F.max(F.struct("common", "id", "n", "chunks")).alias("lead"))
+    leads = leads.select("block", F.col("lead.id").alias("id"), F.col("lead.n").alias("n"), F.col("lead.chunks").alias("chunks"))
     points = nodes.select("id", "n", "point")
     several = bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1))
 
@@ -375,8 +385,8 @@ def labelled_texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
         return settled(sets.mapInPandas(tidy(checked), "id long, shingles binary").dropDuplicates(["id"]) if several else sets, "shingles")
 
     chunk = F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("chunks")).cast("int")
-    members = blocks.withColumn("chunk", chunk).unionAll(leads.where("chunks > 1").select("block", "id", "n", "chunks", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk")))
-    members = members.join(leads.select("block", F.col("id").alias("lead")).hint("merge"), "block").join(points.drop("n").hint("merge"), "id")
+    everywhere = leads.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("lead", F.lit(True))
+    members = blocks.withColumn("chunk", chunk).withColumn("lead", F.lit(False)).unionAll(everywhere).join(points.drop("n").hint("merge"), "id")
     spread = members.repartition("block", "chunk").sortWithinPartitions("block", "chunk")
     seen = settled(spanning_pairs(spread, percent), "seen")
     first = settled(seen.where("again = 0").select("a", "b").distinct(), "pairs")
