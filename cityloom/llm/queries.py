@@ -5,6 +5,7 @@ from __future__ import annotations
 from cityloom.llm.embeddings import op6_multi_index
 from cityloom.llm.jaccard import op7_jaccard_join
 from cityloom.llm.mixing import op4_mix_sources
+from cityloom.llm.oracles import ORACLE_SQL
 from cityloom.llm.packing import op2_pack_best_fit
 from cityloom.llm.search import op9_top_k_search
 from cityloom.llm.secrets import op10_secret_scan
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
