@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,3 +93,39 @@ def decided(default: Column | str | None, rules: list[tuple[Column, Column | str
     for condition, value in rules:
         out = F.when(F.coalesce(condition, F.lit(False)), value).otherwise(out)
     return out
+
+
+#: What a part of a massing cell begins with if it is a directive.
+DIRECTIVES = ["crown@", "tops@", "lid@", "h@", "wing@", "base@", "fill@", "slot@", "shape@", "roofs@"]
+
+
+def directives(text: Column) -> tuple[Column, Column]:
+    """(profile, directives) of a cell whose parts are separated by semicolons; the last part that is no directive is the profile."""
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda p: F.trim(p)), lambda p: p != "")
+    starts = "^(" + "|".join(DIRECTIVES) + ")"
+    plain = F.filter(parts, lambda p: ~p.rlike(starts))
+    return F.when(F.size(plain) > 0, F.element_at(plain, -1)), F.filter(parts, lambda p: p.rlike(starts))
+
+
+def knots(text: Column) -> Column:
+    """A massing profile as knots: at a share of the height, the outline's scale along and across its long axis, how far it moves in (m), its turn
+    (degrees), and the bearing that a lean is along. Words are height:scale; dome:f, shell:f:m and anti:f are upright to f, then a quarter ellipse
+    of scale, one of inset, or a square antiprism; long: has a scale for either axis; lean:bearing: scales along that bearing. Null for none."""
+    t = F.trim(text)
+    kind, rest = F.split(t, ":", 2)[0], F.element_at(F.split(t, ":", 2), 2)
+    number = lambda c: c.cast("double")
+    knot = lambda *v: F.struct(*[(x if isinstance(x, Column) else F.lit(x)).cast("double").alias(n) for n, x in zip(("height", "along", "across", "inset", "turn", "bearing"), v, strict=True)])
+    words = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
+    part = lambda w, k: number(F.split(w, ":")[k])
+    first = part(rest, 0)
+    foot = F.array(knot(0, 1, 1, 0, 0, None))
+    eighths = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: k * math.pi / 16)
+    rise = lambda a: first + (1 - first) * F.sin(a)
+    round_ = lambda a: F.greatest(F.cos(a), F.lit(0.08))
+    dome = F.concat(foot, F.transform(eighths, lambda a: knot(rise(a), round_(a), round_(a), 0, 0, None)))
+    shell = F.concat(foot, F.transform(eighths, lambda a: knot(rise(a), 1, 1, part(rest, 1) * (1 - F.cos(a)), 0, None)))
+    anti = F.concat(foot, F.array(knot(first, 1, 1, 0, 0, None), knot(1, math.sqrt(0.5), math.sqrt(0.5), 0, 45, None)))
+    long = F.transform(words(rest), lambda w: knot(part(w, 0), part(w, 1), part(w, 2), 0, 0, None))
+    lean = F.transform(words(F.element_at(F.split(rest, ":", 2), 2)), lambda w: knot(part(w, 0), part(w, 1), 1, 0, 0, first))
+    plain = F.transform(words(t), lambda w: knot(part(w, 0), part(w, 1), part(w, 1), 0, 0, None))
+    return F.when(t == "", None).when(kind == "dome", dome).when(kind == "shell", shell).when(kind == "anti", anti).when(kind == "long", long).when(kind == "lean", lean).otherwise(plain)

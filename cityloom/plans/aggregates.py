@@ -225,7 +225,21 @@ def cyclic_runs(spark, sf_dir):
     return runs.groupBy("user_id", F.col("island").cast("long").alias("island")).agg(F.count("*").alias("n"))
 
 
-@query()
+def smoothing(rounds: int, least: float) -> str:
+    """SQL of the rounds, each as four steps."""
+    by = "PARTITION BY user_id ORDER BY event_id"
+    steps = ["t0 AS (SELECT user_id, event_id, event_type, 1.0::DOUBLE + event_id % 5 AS length, event_type AS s FROM events)"]
+    for k in range(rounds):
+        steps += [
+            f"a{k} AS (SELECT *, CASE WHEN s IS DISTINCT FROM lag(s) OVER ({by}) OR row_number() OVER ({by}) = 1 THEN 1 ELSE 0 END AS edge FROM t{k})",
+            f"b{k} AS (SELECT *, sum(edge) OVER ({by} ROWS UNBOUNDED PRECEDING) AS run FROM a{k})",
+            f"c{k} AS (SELECT *, sum(length) OVER (PARTITION BY user_id, run) AS total, max(run) OVER (PARTITION BY user_id) AS runs, max(CASE WHEN run = 2 THEN s END) OVER (PARTITION BY user_id) AS other FROM b{k})",
+            f"t{k + 1} AS (SELECT user_id, event_id, event_type, length, CASE WHEN runs = 1 THEN s ELSE coalesce(last_value(CASE WHEN total >= {least} THEN s END IGNORE NULLS) OVER ({by} ROWS UNBOUNDED PRECEDING), other) END AS s FROM c{k})",
+        ]
+    return f"WITH {', '.join(steps)} SELECT user_id, event_id, event_type, length, s AS smoothed FROM t{rounds}"
+
+
+@query(smoothing(3, 6.0))
 def smooth_runs(spark, sf_dir):
     runs = read(spark, sf_dir, "events", "user_id", "event_id", "event_type").withColumn("length", F.expr("1.0D + event_id % 5"))
     return A.smooth_runs(runs, "user_id", "event_id", "event_type", "length", 6.0)

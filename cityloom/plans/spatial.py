@@ -164,12 +164,12 @@ def greedy_assign(spark, sf_dir):
 
 @query(f"""{WITH}, j AS (SELECT a.id AS a_id, b.id AS b_id, b.use, {INTER} AS i, {A_AREA} AS s, {B_AREA} AS t FROM a JOIN b ON {MEET}),
 r AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY i DESC, b_id) AS n FROM j),
-best AS (SELECT * FROM r WHERE n = 1 AND (i >= 0.3 * (s + t - i) OR i >= 0.5 * s))
-SELECT a.id, best.use, CASE WHEN i IS NULL THEN NULL WHEN i >= 0.3 * (s + t - i) THEN 'same' ELSE 'inside' END AS how FROM a LEFT JOIN best ON a.id = best.a_id""")
+best AS (SELECT * FROM r WHERE n = 1 AND (i >= 0.5 * (s + t - i) OR i >= 0.5 * s))
+SELECT a.id, best.use, CASE WHEN i IS NULL THEN NULL WHEN i >= 0.5 * (s + t - i) THEN 'same' ELSE 'inside' END AS how FROM a LEFT JOIN best ON a.id = best.a_id""")
 def attach_attributes(spark, sf_dir):
     a, b = footprints(spark, sf_dir), outlines(spark, sf_dir)
     m = S.best_match(a, b).join(b.select(F.col("id").alias("b_id"), "use"), "b_id").withColumnRenamed("a_id", "id")
-    out = a.join(m, "id", "left").withColumn("how", F.when(F.col("iou") >= 0.3, "same").when(F.col("inter") >= 0.5 * S.area(), "inside"))
+    out = a.join(m, "id", "left").withColumn("how", F.when(F.col("iou") >= 0.5, "same").when(F.col("inter") >= 0.5 * S.area(), "inside"))
     return out.select("id", F.when(F.col("how").isNotNull(), F.col("use")).alias("use"), "how")
 
 

@@ -83,10 +83,15 @@ def test_greedy_with_copies_is_the_sequential_one(spark):
     assert got == want
 
 
-def test_smoothing():
-    assert aggregate.smoothed(list("aabaaa"), [5, 5, 1, 5, 5, 5], 3) == list("aaaaaa")
-    assert aggregate.smoothed(list("baaa"), [1, 5, 5, 5], 3) == list("aaaa")
-    assert aggregate.smoothed(list("aa"), [1, 1], 9) == list("aa")
+def test_smoothing(spark):
+    def smoothed(types, lengths, least):
+        df = spark.createDataFrame([(1, k, t, float(x)) for k, (t, x) in enumerate(zip(types, lengths, strict=True))], "key int, place int, type string, length double")
+        return "".join(r["smoothed"] for r in aggregate.smooth_runs(df, "key", "place", "type", "length", least).orderBy("place").collect())
+
+    assert smoothed("aabaaa", [5, 5, 1, 5, 5, 5], 3) == "aaaaaa"
+    assert smoothed("baaa", [1, 5, 5, 5], 3) == "aaaa"
+    assert smoothed("aa", [1, 1], 9) == "aa"
+    assert smoothed("bacab", [1, 2, 9, 1, 7], 5) == "ccccb"  # aaccb after one round
 
 
 def test_rules(spark):
