@@ -3,7 +3,7 @@
 A document is the set of its distinct word shingles, hashed to 64 bits. Hashing shingles into groups gives a point of group
 counts; the overlap of two sets is at most the sum of their points' coordinate minima. Trees over such points, whose nodes
 hold coordinate maxima, find the pairs whose bound reaches what the similarity needs; those are verified on the sets. A set
-has about as many groups as shingles, a power of two, so that the bound stays close at every size; a point folds to half its
+has a group for two to four shingles, a power of two of them, so that the bound stays close at every size; a point folds to half its
 groups to meet one of the next smaller size.
 
 One tree over all documents would compare each with much of it, as maxima over many points bound little. So trees are built
@@ -38,7 +38,8 @@ from pyspark.sql import Window as W
 from cityloom.llm.common import for_pandas, ids_of, released, settled, table, tidy
 from cityloom.llm.components import components
 
-LEAST_GROUPS = 64
+LEAST_GROUPS = 32
+CLASSES = 4
 ORDER_BITS = 16
 CHUNK = 128
 LEAF = 32
@@ -199,7 +200,7 @@ def pair_bounds(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> n
 
 def point_of(s: np.ndarray) -> bytes:
     """Group counts, four bits each; FULL stands for that and more."""
-    groups = max(LEAST_GROUPS, 1 << (len(s) - 1).bit_length()) if len(s) else LEAST_GROUPS
+    groups = max(LEAST_GROUPS, 1 << max(0, (len(s) - 1).bit_length() - 2)) if len(s) else LEAST_GROUPS
     counts = np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), FULL).astype(np.uint8)
     return (counts[0::2] | (counts[1::2] << 4)).tobytes()
 
@@ -354,10 +355,10 @@ def labelled_texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     alike = shared.groupBy("size", "print").agg(F.min("token").alias("token")).select("token")
     blocks = settled(shared.join(alike.hint("merge"), "token", "left_semi").select(F.col("token").alias("block"), "id", "n"), "blocks")
     released(shared)
-    # sizes that may be similar lie in one class or in neighbouring ones; who has no such other in a block has no partner there
-    blocks_of = blocks.withColumn("_c", F.floor(F.log("n") / (1.0001 * max(math.log(100 / percent), 0.01))).cast("int"))
+    # sizes that may be similar lie at most CLASSES classes apart; who has no such other in a block has no partner there
+    blocks_of = blocks.withColumn("_c", F.floor(CLASSES * F.log("n") / (1.0001 * max(math.log(100 / percent), 0.01))).cast("int"))
     classes = blocks_of.groupBy("block", "_c").agg(F.count("*").alias("_m")).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_m"))).alias("_m"))
-    others = F.expr("coalesce(try_element_at(_m, _c), 0) + coalesce(try_element_at(_m, _c - 1), 0) + coalesce(try_element_at(_m, _c + 1), 0)")
+    others = F.expr(f"aggregate(sequence(_c - {CLASSES}, _c + {CLASSES}), 0L, (a, c) -> a + coalesce(try_element_at(_m, c), 0L))")
     kept = blocks_of.join(classes.hint("merge"), "block").where(others > 1)
     size = F.expr("aggregate(map_values(_m), 0L, (a, x) -> a + x)")
     blocks = settled(kept.select("block", "id", "n", F.ceil(size / CHUNK).cast("int").alias("chunks")), "sized")
