@@ -4,7 +4,8 @@ A document is the set of its distinct word shingles, hashed to 64 bits. Hashing
 counts; the overlap of two sets is at most the sum of their points' coordinate minima. Trees over such points, whose nodes
 hold coordinate maxima, find the pairs whose bound reaches what the similarity needs; those are verified on the sets. A set
 has a group for two to four shingles, a power of two of them, so that the bound stays close at every size; a point folds to half its
-groups to meet one of the next smaller size.
+groups to meet one of the next smaller size. Pairs that are looked for again meet by finer points, of a group for half a shingle to one,
+as near copies that are just not similar enough all pass the coarse bound.
 
 One tree over all documents would compare each with much of it, as maxima over many points bound little. So trees are built
 in blocks: two sets that are similar enough share a shingle among the first n - ceil(t n) + 1 of each, in any order that
@@ -43,6 +44,8 @@ CLASSES = 4
 ORDER_BITS = 16
 CHUNK = 128
 LEAF = 32
+#: Groups of a fine point to those of a coarse one, and how many it has at most, beyond what the coarse one has.
+FINER, FINEST = 4, 8192
 KEPT = 200_000
 STRIP = 16_384
 #: Sets to be looked up that are sent to every task, at some 40 bytes each.
@@ -122,11 +125,11 @@ def bucket_order(docs: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-SETS = "doc_id long, print long, n long, s1 long, s2 long, point binary, first array<long>"
+SETS = "doc_id long, print long, n long, s1 long, s2 long, point binary, fine binary, first array<long>"
 
 
 def described(docs: DataFrame, width: int, percent: int, order: np.ndarray) -> DataFrame:
-    """Each document's hash of the text, number of shingles, the set's hash, its point and its first shingles in the common order."""
+    """Each document's hash of the text, number of shingles, the set's hash, its points and its first shingles in the common order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -137,9 +140,8 @@ def described(docs: DataFrame, width: int, percent: int, order: np.ndarray) -> D
                 n = len(s)
                 key = xxhash.xxh128_digest(s.tobytes())
                 s1, s2 = np.frombuffer(key, np.int64).tolist()
-                point = point_of(s)
-                rows.append((doc_id, told, n, s1, s2, point, s[: first_ones(n, percent)].view(np.int64) if n else s.view(np.int64)))
-            out = pd.DataFrame([r[1:] for r in rows], columns=["print", "n", "s1", "s2", "point", "first"])
+                rows.append((doc_id, told, n, s1, s2, *points_of(s), s[: first_ones(n, percent)].view(np.int64) if n else s.view(np.int64)))
+            out = pd.DataFrame([r[1:] for r in rows], columns=["print", "n", "s1", "s2", "point", "fine", "first"])
             out.insert(0, "doc_id", pd.array([r[0] for r in rows], "Int64"))
             yield out
 
@@ -198,10 +200,17 @@ def pair_bounds(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> n
     return out
 
 
-def point_of(s: np.ndarray) -> bytes:
-    """Group counts, four bits each; FULL stands for that and more."""
-    groups = max(LEAST_GROUPS, 1 << max(0, (len(s) - 1).bit_length() - 2)) if len(s) else LEAST_GROUPS
-    counts = np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), FULL).astype(np.uint8)
+def points_of(s: np.ndarray) -> tuple[bytes, bytes]:
+    """Group counts of the coarse and the fine point."""
+    coarse = max(LEAST_GROUPS, 1 << max(0, (len(s) - 1).bit_length() - 2)) if len(s) else LEAST_GROUPS
+    fine = max(coarse, min(FINER * coarse, FINEST))
+    counts = np.bincount((s & np.uint64(fine - 1)).astype(np.int64), minlength=fine)
+    return nibbles(counts.reshape(-1, coarse).sum(axis=0)), nibbles(counts)
+
+
+def nibbles(counts: np.ndarray) -> bytes:
+    """Counts, four bits each; FULL stands for that and more."""
+    counts = np.minimum(counts, FULL).astype(np.uint8)
     return (counts[0::2] | (counts[1::2] << 4)).tobytes()
 
 
@@ -297,7 +306,7 @@ def spanning_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """rows (block, one, two, side, id, component, n, point) sorted by block and chunk pair -> pairs (a, b) the trees let through."""
+    """rows (block, one, two, side, id, component, n, point) sorted by block and chunk pair -> pairs (a, b) the trees let through; point: the fine one."""
 
     def judge(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         ids, comp, side, one, two = x["id"], x["component"], x["side"], x["one"][0], x["two"][0]
@@ -344,8 +353,8 @@ def labelled_texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     order = bucket_order(docs, width)
     found = settled(described(docs, width, percent, order), "sets")
     key = ["n", "s1", "s2"]
-    nodes = found.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("low"), F.min_by("point", "doc_id").alias("point"))
-    nodes = settled(nodes.withColumnRenamed("s1", "id"), "nodes")
+    nodes = found.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("low"), F.min_by(F.struct("point", "fine"), "doc_id").alias("p"))
+    nodes = settled(nodes.select("n", F.col("s1").alias("id"), "s2", "low", "p.point", "p.fine"), "nodes")
     # one row a set: that of its least document
     one = found.select("doc_id", *key, "first").join(nodes.select("n", F.col("id").alias("s1"), "s2", F.col("low").alias("doc_id")), ["doc_id", *key]).dropDuplicates(["doc_id", *key])
     tokens = one.select(F.col("s1").alias("id"), "n", F.explode("first").alias("token"))
@@ -397,7 +406,7 @@ def labelled_texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     labelled = blocks.join(again.hint("merge"), "block", "left_semi").join(label.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = settled(labelled, "labelled")
     parted = labelled.groupBy("block").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("block")
-    rest = labelled.join(parted, "block").join(points.drop("n"), "id").withColumn("side", chunk).withColumn("_other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    rest = labelled.join(parted, "block").join(nodes.select("id", F.col("fine").alias("point")), "id").withColumn("side", chunk).withColumn("_other", F.explode(F.expr("sequence(0, chunks - 1)")))
     rest = rest.select("block", F.least("side", "_other").alias("one"), F.greatest("side", "_other").alias("two"), "side", "id", "component", "n", "point")
     rest = rest.repartition("block", "one", "two").sortWithinPartitions("block", "one", "two")
     more = settled(block_pairs(rest, percent).distinct(), "pairs")
