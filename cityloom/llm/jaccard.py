@@ -43,6 +43,8 @@ LEAST_GROUPS = 32
 CLASSES = 4
 ORDER_BITS = 16
 CHUNK = 128
+#: First pass's chunks to one of the second, which sends each member to all chunks of its block.
+AGAIN_CHUNKS = 2
 LEAF = 32
 #: Groups of a fine point to those of a coarse one, and how many it has at most, beyond what the coarse one has.
 FINER, FINEST = 4, 8192
@@ -406,7 +408,7 @@ def labelled_texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     labelled = blocks.join(again.hint("merge"), "block", "left_semi").join(label.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = settled(labelled, "labelled")
     parted = labelled.groupBy("block").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("block")
-    rest = labelled.join(parted, "block").join(nodes.select("id", F.col("fine").alias("point")), "id").withColumn("side", chunk).withColumn("_other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    rest = labelled.join(parted, "block").join(nodes.select("id", F.col("fine").alias("point")), "id").withColumn("chunks", F.ceil(F.col("chunks") / AGAIN_CHUNKS)).withColumn("side", chunk).withColumn("_other", F.explode(F.expr("sequence(0, chunks - 1)")))
     rest = rest.select("block", F.least("side", "_other").alias("one"), F.greatest("side", "_other").alias("two"), "side", "id", "component", "n", "point")
     rest = rest.repartition("block", "one", "two").sortWithinPartitions("block", "one", "two")
     more = settled(block_pairs(rest, percent).distinct(), "pairs")
