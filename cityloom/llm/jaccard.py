@@ -408,7 +408,12 @@ def labelled_texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     labelled = blocks.join(again.hint("merge"), "block", "left_semi").join(label.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = settled(labelled, "labelled")
     parted = labelled.groupBy("block").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("block")
-    rest = labelled.join(parted, "block").join(nodes.select("id", F.col("fine").alias("point")), "id").withColumn("chunks", F.ceil(F.col("chunks") / AGAIN_CHUNKS)).withColumn("side", chunk).withColumn("_other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    rest = settled(labelled.join(parted, "block"), "rest")
+    # the fine points of those alone are dealt out
+    asked = settled(rest.select("id").distinct(), "ids")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    fine = nodes.join(asked, "id", "left_semi").select("id", F.col("fine").alias("point"))
+    rest = rest.join(fine, "id").withColumn("chunks", F.ceil(F.col("chunks") / AGAIN_CHUNKS)).withColumn("side", chunk).withColumn("_other", F.explode(F.expr("sequence(0, chunks - 1)")))
     rest = rest.select("block", F.least("side", "_other").alias("one"), F.greatest("side", "_other").alias("two"), "side", "id", "component", "n", "point")
     rest = rest.repartition("block", "one", "two").sortWithinPartitions("block", "one", "two")
     more = settled(block_pairs(rest, percent).distinct(), "pairs")
