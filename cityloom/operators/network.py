@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from cityloom.operators.lineage import cut
 
-ROUNDS = 200
-
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.withColumnsRenamed({"a": "_b", "b": "_a"}).withColumnsRenamed({"_b": "b", "_a": "a"}))
@@ -19,14 +17,14 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def lower_envelope(start: DataFrame, edges: DataFrame, grade: float) -> DataFrame:
     """start (id, h), edges (a, b, length) -> id, h: the least over all nodes of its h plus grade times the way to it."""
     ways, h = both_ways(edges).select("a", "b", "length"), cut(start.select("id", "h"))
-    for _ in range(ROUNDS):
+    for _ in range(h.count() + 1):  # a least way has fewer steps than there are nodes
         over = h.join(ways, F.col("id") == F.col("a")).select(F.col("b").alias("id"), (F.col("h") + grade * F.col("length")).alias("h"))
         low = over.groupBy("id").agg(F.min("h").alias("_over"))
         after = cut(h.join(low, "id", "left").select("id", F.least("h", F.coalesce("_over", "h")).alias("h"), (F.col("_over") < F.col("h")).alias("_fell")))
         if not after.where("_fell").take(1):
             return after.select("id", "h")
         h = after.select("id", "h")
-    raise RuntimeError(f"not settled after {ROUNDS} rounds")
+    raise RuntimeError("not settled: a negative grade or length, or an id on two rows")
 
 
 def component_ids(nodes: DataFrame, edges: DataFrame, together: bool = False) -> DataFrame:
@@ -34,7 +32,7 @@ def component_ids(nodes: DataFrame, edges: DataFrame, together: bool = False) ->
     halves the way each round. `together`: all nodes of a label fall as far as the first of them, which saves rounds where
     components are large and dense."""
     ways, label = both_ways(edges).select("a", "b").distinct(), cut(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(ROUNDS):
+    for _ in range(label.count() + 1):  # a label moves a step a round, at least
         low = label.join(ways, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.min("component").alias("_low"))
         near = label.join(low, "id", "left").select("id", "component", F.least("component", F.coalesce("_low", "component")).alias("_to"))
         if together:
@@ -44,7 +42,7 @@ def component_ids(nodes: DataFrame, edges: DataFrame, together: bool = False) ->
         if not after.where("_fell").take(1):
             return after.select("id", "component")
         label = after.select("id", "component")
-    raise RuntimeError(f"not settled after {ROUNDS} rounds")
+    raise RuntimeError("not settled: a negative grade or length, or an id on two rows")
 
 
 def harmonic(pinned: DataFrame, nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:

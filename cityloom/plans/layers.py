@@ -96,14 +96,8 @@ TIN = f"""{WITH}, q AS (SELECT id, x, y, (x // 50) * 50 AS ax, (y // 50) * 50 AS
 SELECT id, round(CASE WHEN u + w <= 1 THEN h00 + u * (h10 - h00) + w * (h01 - h00) ELSE h11 + (1 - u) * (h01 - h11) + (1 - w) * (h10 - h11) END, 6)::DOUBLE AS v FROM f"""
 
 
-@query(f"{TIN} WHERE x % 50 > 0 AND y % 50 > 0")
-def tin_height(spark, sf_dir):
-    return heights(spark, landmarks(spark, sf_dir).where("x % 50 > 0 and y % 50 > 0"))
-
-
-# the points on corners and edges of triangles too
 @query(TIN)
-def all_tin_height(spark, sf_dir):
+def tin_height(spark, sf_dir):
     return heights(spark, landmarks(spark, sf_dir))
 
 
@@ -118,11 +112,11 @@ def heights(spark, points):
 
 # --- networks ---------------------------------------------------------------------------------------------------------
 
-EDGES = "SELECT p_partkey AS a, p_partkey + 1 + p_partkey % 3 AS b, 1.0::DOUBLE + p_size AS length FROM part WHERE p_partkey % 17 > 0"
+EDGES = "SELECT p_partkey AS a, p_partkey + 1 + p_partkey % 3 AS b, 1.0::DOUBLE + p_size AS length FROM part"
 
 
 def edges(spark, sf_dir):
-    return read(spark, sf_dir, "part", "p_partkey", "p_size").where("p_partkey % 17 > 0").selectExpr("p_partkey as a", "p_partkey + 1 + p_partkey % 3 as b", "1.0D + p_size as length")
+    return read(spark, sf_dir, "part", "p_partkey", "p_size").selectExpr("p_partkey as a", "p_partkey + 1 + p_partkey % 3 as b", "1.0D + p_size as length")
 
 
 def nodes(spark, sf_dir):

@@ -123,14 +123,8 @@ def activity_field(spark, sf_dir):
     return mean.select("i", "j", F.round(F.least(F.lit(1.2), F.col("v") / top.scalar()), 6).alias("v"))
 
 
-@query(f"WITH RECURSIVE {WITH.removeprefix('WITH ')}, g AS (SELECT id, x0 - 3 AS x0, y0 - 3 AS y0, x1 + 3 AS x1, y1 + 3 AS y1 FROM a WHERE id % 9 = 0), e AS (SELECT a.id AS i, b.id AS j FROM g AS a JOIN g AS b ON {TOUCHES}), w AS (SELECT id, id AS c FROM g UNION SELECT e.j, w.c FROM w JOIN e ON e.i = w.id), r AS (SELECT id, min(c) AS c FROM w GROUP BY 1) SELECT c AS id, count(*) AS parts, min(x0) + 3 AS x0, max(x1) - 3 AS x1 FROM r JOIN g USING (id) GROUP BY 1")
+@query(f"WITH RECURSIVE {WITH.removeprefix('WITH ')}, g AS (SELECT id, x0 - 3 AS x0, y0 - 3 AS y0, x1 + 3 AS x1, y1 + 3 AS y1 FROM a), e AS (SELECT a.id AS i, b.id AS j FROM g AS a JOIN g AS b ON {TOUCHES}), w AS (SELECT id, id AS c FROM g UNION SELECT e.j, w.c FROM w JOIN e ON e.i = w.id), r AS (SELECT id, min(c) AS c FROM w GROUP BY 1) SELECT c AS id, count(*) AS parts, min(x0) + 3 AS x0, max(x1) - 3 AS x1 FROM r JOIN g USING (id) GROUP BY 1")
 def merged_masses(spark, sf_dir):
-    return masses(footprints(spark, sf_dir).where("id % 9 = 0"))
-
-
-# all footprints, whose recursive closure is too slow in SQL
-@query()
-def all_merged_masses(spark, sf_dir):
     return masses(footprints(spark, sf_dir))
 
 

@@ -118,6 +118,16 @@ def test_network_on_a_path(spark):
     assert all(abs(h[k] - 0.5 * k) < 1e-9 for k in range(n + 1))
 
 
+def test_network_on_a_long_path(spark):
+    n = 230
+    edges = spark.createDataFrame([(k, k + 1, 1.0) for k in range(n)], "a long, b long, length double")
+    start = spark.range(n + 1).select("id", F.when(F.col("id") == 0, 0.0).otherwise(1000.0).alias("h"))
+    h = {r["id"]: r["h"] for r in network.lower_envelope(start, edges, 0.5).collect()}
+    assert all(abs(h[k] - 0.5 * k) < 1e-9 for k in range(n + 1))
+    with pytest.raises(RuntimeError):
+        network.lower_envelope(start.where("id < 4"), edges.where("b < 4"), -0.5)
+
+
 def test_grade_line_is_the_dense_solve(spark):
     rng = random.Random(5)
     n, pull = 60, 1e-5
@@ -156,7 +166,7 @@ def test_masses_of_all_footprints(spark, sf):
                 n, held = held.sum(), meet[held].any(0)
             want.add((i[k], n, x0[held].min(), x1[held].max()))
             open_ &= ~held
-    got = {tuple(r) for r in registry.QUERIES["all_merged_masses"](spark, f"/root/testdata/{sf}").select("id", "parts", "x0", "x1").collect()}
+    got = {tuple(r) for r in registry.QUERIES["merged_masses"](spark, f"/root/testdata/{sf}").select("id", "parts", "x0", "x1").collect()}
     assert got == want and sum(r[1] for r in got) == len(rows)
 
 
