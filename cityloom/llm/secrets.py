@@ -2,8 +2,8 @@
 
 The base kinds are patterns. Beyond them, a string in sensitive context (a word such as key or bearer shortly before it) is
 measured: zstandard is primed with the text around it, itself left out, and with a dictionary of common identifiers, and the
-bytes that the string then adds are its novelty. Identifiers, paths and repeated values cost next to nothing; what stays
-near the size of random characters is reported as kind "novel". Spans are code points, end exclusive, of the whole match.
+bytes that the string then adds are its novelty. Repeated values cost next to nothing, identifiers and paths mostly less than
+their size; what stays near the size of random characters is reported as kind "novel". Spans are code points, end exclusive, of the whole match.
 
 Cases: a null or empty text has no spans; repeated rows give repeated results; an empty table gives an empty result; further
 columns are ignored, whatever their names.
@@ -32,8 +32,9 @@ KINDS = ("assign", "access", "hex", "novel")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"secret|token|passw|passphrase|credential|bearer|authori[sz]ation|private|signature|api.?key|access.?key|\bkey\b|\bpwd\b|\bauth\b", re.IGNORECASE)
 BEFORE, AROUND = 64, 512
-#: Bytes a character: random hexadecimal digits need 0.5, base64 0.75; words that the dictionary knows far less.
-NOVEL_RATIO, NOVEL_BYTES = 0.45, 10
+#: Bytes a character. zstandard leaves the literals of short strings as they are, so random ones cost all their bytes, while each
+#: word found in the dictionary or nearby saves some; from LONG characters on random hexadecimal digits need 0.58, base64 0.9.
+SHORT_RATIO, LONG_RATIO, LONG = 0.9, 0.55, 64
 IDENTIFIERS = " ".join(
     "abstract access account address application argument array async authorization await bearer boolean bucket buffer cache callback certificate "
     "class client cluster column config configuration connect const container context controller credential database default delete description "
@@ -85,7 +86,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
         if any(start < e and s < end for s, _, e in base) or not SENSITIVE.search(text, max(0, start - BEFORE), start):
             continue
         cost = novelty.of(text, start, end)
-        if cost >= max(NOVEL_BYTES, NOVEL_RATIO * (end - start)):
+        if cost >= (SHORT_RATIO if end - start < LONG else LONG_RATIO) * (end - start):
             out.append((start, 3, end))
     return out
 
