@@ -65,10 +65,7 @@ def nearest_within(spark, sf_dir):
 @query(f"""{WITH}, r AS (SELECT p.id AS a_id, q.id AS b_id, (p.x - q.x) ** 2 + (p.y - q.y) ** 2 AS d2 FROM p JOIN p AS q ON p.id <> q.id AND (p.x - q.x) ** 2 + (p.y - q.y) ** 2 <= 10000),
 s AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) AS n FROM r) SELECT a_id, b_id, {LONG('d2')} AS d2 FROM s WHERE n = 1""")
 def nearest_other_point(spark, sf_dir):
-    points = S.as_boxes(landmarks(spark, sf_dir)).select("id", "x0", "x1", "y0", "y1")
-    d2 = S.gap("x") * S.gap("x") + S.gap("y") * S.gap("y")
-    near = S.box_pairs(points, points, cell=100, within=100).where("a_id <> b_id").select("a_id", "b_id", d2.alias("d2")).where("d2 <= 10000")
-    return near.groupBy("a_id").agg(F.min(F.struct("d2", "b_id")).alias("m")).select("a_id", "m.b_id", "m.d2")
+    return S.nearest_other(landmarks(spark, sf_dir), 100)
 
 
 @query(f"""{SELF} SELECT a.id AS a_id, b.id AS b_id, {LONG(INTER)} AS inter FROM a JOIN b ON a.id < b.id AND {MEET}
