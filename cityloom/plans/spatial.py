@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cityloom.operators import dense as D
 from cityloom.operators import spatial as S
 from cityloom.plans.entities import WITH, footprints, landmarks, outlines, read
 
@@ -40,7 +41,7 @@ def best_match_iou(spark, sf_dir):
 
 @query(f"{WITH} SELECT a.id AS a_id, count(*) AS n, {LONG('sum(b.h)')} AS total_h FROM a JOIN b ON {TOUCH} GROUP BY 1")
 def spatial_intersects(spark, sf_dir):
-    return S.box_pairs(footprints(spark, sf_dir), outlines(spark, sf_dir), interior=False).groupBy("a_id").agg(F.count("*").alias("n"), F.sum("b_h").alias("total_h"))
+    return D.touching(footprints(spark, sf_dir), outlines(spark, sf_dir)).toDF("a_id", "n", "total_h")
 
 
 @query(f"{WITH} SELECT p.id AS p_id, min(b.id) AS b_id FROM p LEFT JOIN b ON {HELD} GROUP BY 1")
