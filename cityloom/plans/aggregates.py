@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from cityloom.functions.hilbert import hilbert, hilbert_sql
 from cityloom.operators import aggregate as A
+from cityloom.operators import dense as D
 from cityloom.operators import spatial as S
 from cityloom.plans.entities import WITH, footprints, landmarks, outlines, read
 
@@ -75,9 +76,7 @@ c AS (SELECT *, sum(w) OVER (PARTITION BY id ORDER BY h, piece ROWS UNBOUNDED PR
 m AS (SELECT id, min(h) AS h FROM c WHERE cum * 2 >= total GROUP BY 1), mean AS (SELECT id, sum(h * w) / sum(w) AS h_mean, CAST(sum(w) AS BIGINT) AS cover FROM o GROUP BY 1)
 SELECT id, h, round(h_mean, 6) AS h_mean, cover FROM m JOIN mean USING (id)""")
 def overlay_heights(spark, sf_dir):
-    pairs = S.box_pairs(outlines(spark, sf_dir), footprints(spark, sf_dir)).select(F.col("a_id").alias("id"), F.col("b_id").alias("piece"), F.col("b_h").alias("h"), S.overlap().alias("w"))
-    mean = pairs.groupBy("id").agg(F.round(F.sum(F.col("h") * F.col("w")) / F.sum("w"), 6).alias("h_mean"))
-    return A.weighted_median(pairs, "id", "h", "w", "piece").join(mean, "id").select("id", "h", "h_mean", "cover")
+    return D.overlay(outlines(spark, sf_dir), footprints(spark, sf_dir)).withColumn("h_mean", F.round("h_mean", 6))
 
 
 @query("""WITH c AS (SELECT l_orderkey, l_partkey, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_partkey DESC, l_linenumber ROWS UNBOUNDED PRECEDING) AS cum FROM lineitem)
