@@ -139,13 +139,7 @@ def road_clearance(spark, sf_dir):
 @query(f"""{SELF}{SQUARES}, u AS (SELECT sq.id, count(DISTINCT (sq.sx, sq.sy)) AS m, count(DISTINCT tq.id) AS hosts FROM sq JOIN tq ON sq.sx = tq.sx AND sq.sy = tq.sy AND sq.id <> tq.id AND tq.h >= sq.h - 25 AND tq.h < sq.h GROUP BY 1)
 SELECT u.id, hosts FROM u JOIN a ON a.id = u.id WHERE hosts >= 2 AND m >= 0.3 * ({A_AREA})""")
 def deck_rule(spark, sf_dir):
-    a = footprints(spark, sf_dir)
-    pairs = S.box_pairs(a, a).where("a_id <> b_id and b_h >= a_h - 25 and b_h < a_h")
-    clip = [F.greatest(f"a_{s}0", f"b_{s}0").alias(f"{s}0") for s in "xy"] + [F.least(f"a_{s}1", f"b_{s}1").alias(f"{s}1") for s in "xy"]
-    cut = pairs.select("a_id", S.area("a_").alias("own"), *clip)
-    many = cut.groupBy("a_id").agg(F.count("*").alias("hosts"), F.first("own").alias("own")).where("hosts >= 2")
-    under = cut.join(many.select("a_id"), "a_id", "left_semi").groupBy("a_id").agg(S.union_area("x0", "y0", "x1", "y1").alias("under"))
-    return many.join(under, "a_id").where("under >= 0.3 * own").select(F.col("a_id").alias("id"), "hosts")
+    return D.decks(footprints(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {WITH.removeprefix('WITH ')}, c AS (SELECT p.id AS p, b.id AS b, abs(p.h - b.h) * 1000 + least(999, (p.x - b.x0) ** 2 + (p.y - b.y0) ** 2) AS score FROM p JOIN b ON {HELD}),
