@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cityloom.functions import shapes as H
 from cityloom.functions import tags as T
 from cityloom.operators import fuse as U
+from cityloom.operators import dense as D
 from cityloom.operators import spatial as S
 from cityloom.plans.entities import WITH, footprints, landmarks, outlines, read
 
@@ -316,7 +317,7 @@ def quality_report(spark, sf_dir):
     flags = {"strips": F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) < 3, "low": F.col("h") < 5, "tall": F.col("h") > 55}
     one = a.agg(*[F.count(F.when(c, 1)).alias(n) for n, c in flags.items()], (F.count("*") - F.countDistinct("x0", "y0", "x1", "y1")).alias("doubles"))
     rows = one.unpivot([], ["strips", "low", "tall", "doubles"], "name", "n")
-    worst = S.self_pairs(a).where(S.overlap() > 0.1 * F.least(S.area("a_"), S.area("b_"))).agg(F.count("*").alias("n")).select(F.lit("overlaps").alias("name"), "n")
+    worst = D.overlaps(a, 0.1).select(F.lit("overlaps").alias("name"), "n")
     return rows.unionAll(worst)
 
 
