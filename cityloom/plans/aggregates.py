@@ -260,8 +260,7 @@ def hilbert_order(spark, sf_dir):
 
 @query(f"{WITH} SELECT a.id AS a_id, b.id AS b_id, abs(a.h - b.h) AS diff FROM a JOIN b ON {MEET} ORDER BY diff DESC, a_id, b_id LIMIT 30")
 def topk_disagreement(spark, sf_dir):
-    pairs = S.box_pairs(footprints(spark, sf_dir), outlines(spark, sf_dir)).select("a_id", "b_id", F.abs(F.col("a_h") - F.col("b_h")).alias("diff"))
-    return pairs.orderBy(F.desc("diff"), "a_id", "b_id").limit(30)
+    return S.most_apart(footprints(spark, sf_dir), outlines(spark, sf_dir), 30)
 
 
 @query(f"{WITH} SELECT CAST(x0 // 250 AS BIGINT) AS cx, CAST(y0 // 250 AS BIGINT) AS cy, count(*) AS n, round(avg(h), 6) AS mean FROM a GROUP BY 1, 2 HAVING count(*) >= 50 ORDER BY avg(h) DESC, cx, cy LIMIT 8")
