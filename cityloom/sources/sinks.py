@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cityloom.functions.shapes import split_bytes
 
+#: Decoded points of a batch.
+ROWS = 100_000
+
 
 def write_layer(df: DataFrame, path: str, *tile: str) -> None:
     """Parquet in a folder a tile; a tile's rows come from few tasks, so that its files are few."""
@@ -20,19 +27,25 @@ def point_tiles(points: DataFrame, size: float, quantum: float) -> DataFrame:
     rows = points.select(*tile, *place, F.col("code").cast("int").alias("code"))
     g = rows.groupBy("tx", "ty").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("qx", "qy", "code"))).alias("p"))
     column = lambda c: F.transform("p", lambda v: v[c])
-    steps = lambda c: F.transform(column(c), lambda v, i: v - F.when(i == 0, 0).otherwise(F.get(column(c), i - 1)))
+    before = lambda c: F.concat(F.array(F.lit(0)), F.slice(column(c), F.lit(1), F.size("p") - 1))
+    steps = lambda c: F.zip_with(column(c), before(c), lambda v, last: v - last)
     return g.select("tx", "ty", "n", F.concat(split_bytes(steps("qx")), split_bytes(steps("qy")), split_bytes(column("code"))).alias("body"))
 
 
 def decoded_tiles(tiles: DataFrame, size: float, quantum: float) -> DataFrame:
     """The points of point_tiles, back again."""
-    byte = lambda at: F.conv(F.substring(F.hex("body"), at * 2 + 1, 2), 16, 10).cast("int")
-    column = lambda k: F.transform(F.sequence(F.lit(0), F.col("n").cast("int") - 1), lambda i: byte(k * 2 * F.col("n").cast("int") + i) + 256 * byte((k * 2 + 1) * F.col("n").cast("int") + i))
-    signed = lambda a: F.transform(a, lambda v: F.when(v >= 32768, v - 65536).otherwise(v))
-    whole = lambda a: F.transform(a, lambda v, i: F.aggregate(F.slice(a, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x))
-    t = tiles.select("tx", "ty", whole(signed(column(0))).alias("qx"), whole(signed(column(1))).alias("qy"), column(2).alias("code"))
-    p = t.select("tx", "ty", F.explode(F.arrays_zip("qx", "qy", "code")).alias("p"))
-    return p.select((F.col("tx") * size + F.col("p.qx") * quantum).alias("x"), (F.col("ty") * size + F.col("p.qy") * quantum).alias("y"), F.col("p.code").alias("code"))
+
+    def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for tx, ty, n, body in batch.itertuples(index=False):
+                code = np.frombuffer(body, np.uint8).reshape(3, 2, n).astype("int32")
+                qx, qy, code = code[:, 0] + 256 * code[:, 1]
+                place = [np.cumsum(q - (q >= 32768) * 65536) for q in (qx, qy)]
+                for k in range(0, n, ROWS):
+                    yield pd.DataFrame({"tx": tx, "ty": ty, "qx": place[0][k : k + ROWS], "qy": place[1][k : k + ROWS], "code": code[k : k + ROWS]})
+
+    p = tiles.select("tx", "ty", F.col("n").cast("int"), "body").mapInPandas(points, "tx long, ty long, qx int, qy int, code int")
+    return p.select((F.col("tx") * size + F.col("qx") * quantum).alias("x"), (F.col("ty") * size + F.col("qy") * quantum).alias("y"), "code")
 
 
 def report(title: str, df: DataFrame, most: int = 200) -> str:

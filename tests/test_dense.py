@@ -12,6 +12,7 @@ from cityloom.plans import registry
 #: Rows of part and customer in one place, seconds that a query may take over them.
 STACKED, LIMIT = 30_000, 60
 CASES = [
+    "tile_round_trip",
     "topk_disagreement",
     "quality_report",
     "deck_rule",
