@@ -129,8 +129,8 @@ def scatter_reduce(spark, sf_dir):
 @query("""SELECT user_id, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90,
 quantile_cont(value, 0.9) - quantile_cont(value, 0.1) < 100 AS flat FROM events GROUP BY 1""")
 def zonal_percentiles(spark, sf_dir):
-    p = read(spark, sf_dir, "events", "user_id", "value").groupBy("user_id").agg(F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"))
-    return p.select("user_id", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p10", "p50", "p90"))], (F.col("p")[2] - F.col("p")[0] < 100).alias("flat"))
+    p = A.quantiles(read(spark, sf_dir, "events", "user_id", "value"), "user_id", "value", p10=0.1, p50=0.5, p90=0.9)
+    return p.select("user_id", *[F.round(n, 6).alias(n) for n in ("p10", "p50", "p90")], (F.col("p90") - F.col("p10") < 100).alias("flat"))
 
 
 @query("""WITH c AS (SELECT l_suppkey, l_linenumber, count(*) AS k FROM lineitem GROUP BY 1, 2), m AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY k DESC, l_linenumber) AS r, sum(k) OVER (PARTITION BY l_suppkey) AS n FROM c)
