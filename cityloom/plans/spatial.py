@@ -160,9 +160,10 @@ best AS (SELECT * FROM r WHERE n = 1 AND (i >= 0.5 * (s + t - i) OR i >= 0.5 * s
 SELECT a.id, best.use, CASE WHEN i IS NULL THEN NULL WHEN i >= 0.5 * (s + t - i) THEN 'same' ELSE 'inside' END AS how FROM a LEFT JOIN best ON a.id = best.a_id""")
 def attach_attributes(spark, sf_dir):
     a, b = footprints(spark, sf_dir), outlines(spark, sf_dir)
-    m = S.best_match(a, b).join(b.select(F.col("id").alias("b_id"), "use"), "b_id").withColumnRenamed("a_id", "id")
-    out = a.join(m, "id", "left").withColumn("how", F.when(F.col("iou") >= 0.5, "same").when(F.col("inter") >= 0.5 * S.area(), "inside"))
-    return out.select("id", F.when(F.col("how").isNotNull(), F.col("use")).alias("use"), "how")
+    how = F.when(F.col("iou") >= 0.5, "same").when(F.col("inter") >= 0.5 * F.col("own"), "inside")
+    m = S.best_match(a, b).select(F.col("a_id").alias("id"), "b_id", how.alias("how")).where("how is not null")
+    m = m.join(b.select(F.col("id").alias("b_id"), "use"), "b_id")
+    return a.select("id").join(m, "id", "left").select("id", "use", "how")
 
 
 @query(f"""{WITH}, j AS (SELECT a.id AS a_id, b.id AS b_id, b.use, {INTER} AS i, {A_AREA} AS s FROM a JOIN b ON {MEET} WHERE a.src <> 'osm'),
@@ -171,7 +172,7 @@ SELECT a.id, coalesce(CASE WHEN a.n % 3 = 0 THEN a.kind END, r.use) AS kind FROM
 def lend_fields(spark, sf_dir):
     a, b = footprints(spark, sf_dir), outlines(spark, sf_dir)
     other = a.where("src <> 'osm'")
-    lent = S.best_match(other, b).join(other.select(F.col("id").alias("a_id"), S.area().alias("own")), "a_id").where("inter >= 0.6 * own")
+    lent = S.best_match(other, b).where("inter >= 0.6 * own")
     lent = lent.join(b.select(F.col("id").alias("b_id"), "use"), "b_id").select(F.col("a_id").alias("id"), "use")
     return a.join(lent, "id", "left").select("id", F.coalesce(F.when(F.col("n") % 3 == 0, F.col("kind")), "use").alias("kind"))
 
@@ -203,7 +204,7 @@ k AS (SELECT * FROM r WHERE n = 1 AND i >= 0.5 * s AND s <= 1.5 * t)
 SELECT host, count(*) AS parts, {LONG('sum(least(s, t))')} AS area FROM k GROUP BY 1 HAVING sum(least(s, t)) >= 0.25 * any_value(t)""")
 def parts_to_host(spark, sf_dir):
     a, b = footprints(spark, sf_dir), outlines(spark, sf_dir)
-    m = S.best_match(a, b).join(a.select(F.col("id").alias("a_id"), S.area().alias("s")), "a_id").join(b.select(F.col("id").alias("b_id"), S.area().alias("t")), "b_id")
+    m = S.best_match(a, b).withColumnsRenamed({"own": "s", "other": "t"})
     kept = m.where("inter >= 0.5 * s and s <= 1.5 * t")
     out = kept.groupBy(F.col("b_id").alias("host")).agg(F.count("*").alias("parts"), F.sum(F.least("s", "t")).alias("area"), F.first("t").alias("t"))
     return out.where("area >= 0.25 * t").select("host", "parts", "area")
