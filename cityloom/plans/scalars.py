@@ -327,5 +327,5 @@ SELECT a.src, count(*) AS n, any_value(c.matched) AS matched, any_value(c.median
 def compare_report(spark, sf_dir):
     a, b = footprints(spark, sf_dir), outlines(spark, sf_dir)
     m = S.best_match(a, b).join(b.select(F.col("id").alias("b_id"), F.col("h").alias("want")), "b_id").select(F.col("a_id").alias("id"), "want")
-    j = a.join(m, "id", "left")
+    j = a.select("id", "src", "h").join(m, "id", "left")
     return j.groupBy("src").agg(F.count("*").alias("n"), F.count("want").alias("matched"), F.median(F.col("h") - F.col("want")).alias("median_error"))
