@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cityloom.llm.common import for_pandas, ids_of, released, settled, table, tidy
+from cityloom.llm.common import batches_of, for_pandas, ids_of, released, settled, table, tidy
 from cityloom.llm.components import components
 
 LEAST_GROUPS = 32
@@ -49,7 +49,8 @@ LEAF = 32
 #: Groups of a fine point to those of a coarse one, and how many it has at most, beyond what the coarse one has.
 FINER, FINEST = 4, 8192
 KEPT = 200_000
-STRIP = 16_384
+#: Bytes of points that pair_bounds() looks up at once on a side, rows that go to Python at once.
+STRIP, BATCH = 1 << 22, 2_000
 #: Sets to be looked up that are sent to every task, at some 40 bytes each.
 BROADCAST_ROWS = 400_000
 FULL, WITHOUT_BOUND = 15, 120
@@ -196,9 +197,9 @@ class Tree:
 
 def pair_bounds(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
     """bounds() of x[i] and y[j], pair by pair, some at a time."""
-    out = np.empty(len(i), np.int32)
-    for a in range(0, len(i), STRIP):
-        out[a : a + STRIP] = np.minimum(x[i[a : a + STRIP]], y[j[a : a + STRIP]]).sum(axis=1, dtype=np.int32)
+    out, step = np.empty(len(i), np.int32), max(1, STRIP // x.shape[1])
+    for a in range(0, len(i), step):
+        out[a : a + step] = np.minimum(x[i[a : a + step]], y[j[a : a + step]]).sum(axis=1, dtype=np.int32)
     return out
 
 
@@ -351,7 +352,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
 
 def labelled_texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """As jaccard_components, with print, the text's hash: of several texts of a doc_id each has its own component."""
-    docs = docs.select("doc_id", "text")
+    with batches_of(docs.sparkSession, BATCH):
+        return labels_of(docs.select("doc_id", "text"), width, percent)
+
+
+def labels_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
     order = bucket_order(docs, width)
     found = settled(described(docs, width, percent, order), "sets")
     key = ["n", "s1", "s2"]
