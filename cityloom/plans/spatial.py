@@ -72,8 +72,7 @@ def nearest_other_point(spark, sf_dir):
 @query(f"""{SELF} SELECT a.id AS a_id, b.id AS b_id, {LONG(INTER)} AS inter FROM a JOIN b ON a.id < b.id AND {MEET}
 WHERE {INTER} <> {A_AREA} AND {INTER} <> {B_AREA}""")
 def overlap_pairs(spark, sf_dir):
-    pairs = S.self_pairs(footprints(spark, sf_dir)).withColumn("inter", S.overlap())
-    return pairs.where((F.col("inter") != S.area("a_")) & (F.col("inter") != S.area("b_"))).select("a_id", "b_id", "inter")
+    return S.overlapping(footprints(spark, sf_dir))
 
 
 @query(f"{SELF} SELECT a.id AS a_id, b.id AS b_id, abs(a.h - b.h) AS jump FROM a JOIN b ON a.id < b.id AND {TOUCH} AND NOT ({MEET}) WHERE abs(a.h - b.h) > 10")
@@ -116,7 +115,7 @@ def volume_overlap(spark, sf_dir):
 
 @query(f"{WITH} SELECT a.id AS a_id, b.id AS b_id, {LONG(INTER)} AS inter FROM a JOIN b ON {MEET} WHERE {INTER} >= 0.5 * {B_AREA}")
 def containment_pairs(spark, sf_dir):
-    return S.inside(footprints(spark, sf_dir), outlines(spark, sf_dir), 0.5).select("a_id", "b_id", "inter")
+    return S.inside(footprints(spark, sf_dir), outlines(spark, sf_dir), 0.5)
 
 
 @query(f"{SELF} SELECT a.id, count(*) AS neighbours FROM a JOIN b ON a.id <> b.id AND {D2} <= 9 AND b.h >= a.h - 1 GROUP BY 1")
