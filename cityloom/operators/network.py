@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cityloom.operators.lineage import cut
 
+#: Edges that are contracted at once, at least (a batch of Arrow's more at most).
+LOT = 1 << 19
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.withColumnsRenamed({"a": "_b", "b": "_a"}).withColumnsRenamed({"_b": "b", "_a": "a"}))
@@ -27,11 +34,68 @@ def lower_envelope(start: DataFrame, edges: DataFrame, grade: float) -> DataFram
     raise RuntimeError("not settled: a negative grade or length, or an id on two rows")
 
 
-def component_ids(nodes: DataFrame, edges: DataFrame, together: bool = False) -> DataFrame:
+def least_of_each(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Of nodes 0 to n - 1 the least one that the edges a - b connect: roots are hung on lesser ones, then all ways are halved."""
+    low = np.arange(n)
+    while len(a):
+        p, q = low[a], low[b]
+        apart = p != q
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(low, np.maximum(p, q), np.minimum(p, q))
+        while (low[low] != low).any():
+            low = low[low]
+    return low
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """id, low: each node of some edges that lie together, with the least that they connect it to. A node that several such lots hold has
+    a row for each. Edges are in order of their ends, so that what is near is mostly in one lot."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def lot() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            ends = pa.chunked_array([*t["a"].chunks, *t["b"].chunks])
+            names = ends.unique()
+            names = names.take(pc.sort_indices(names))  # places are in the order of ids
+            at = pc.index_in(ends, names).to_numpy()
+            low = least_of_each(at[: len(t)], at[len(t) :], len(names))
+            return pa.RecordBatch.from_arrays([names, names.take(pa.array(low))], ["id", "low"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= LOT:
+                yield lot()
+                held = []
+        if held:
+            yield lot()
+
+    low = edges.select("a", "b").where("a is not null and b is not null")
+    return low.repartitionByRange("a").sortWithinPartitions("a", "b").mapInArrow(run, f"id {kind}, low {kind}")
+
+
+def component_ids(nodes: DataFrame, edges: DataFrame, together: bool = False, before: int | None = None) -> DataFrame:
+    """id, component: the least id that the edges connect. What the edges of a lot connect is found in its task; between lots only
+    the nodes that several hold go on, as edges between their lots' least ones: to lots again, or, where these are no less than half as
+    many as the `before` edges, to fallen(). The ends of edges are among the nodes."""
+    ends = cut(contracted(edges.select("a", "b")))
+    first = ends.groupBy("id").agg(F.min("low").alias("a"), F.max("low").alias("_last"))
+    more = cut(ends.join(first.where("a < _last").select("id", "a"), "id").where("a < low").select("a", F.col("low").alias("b")).distinct())
+    out, n = first.select("id", F.col("a").alias("_low")), more.count()
+    if n:
+        lows = more.select(F.col("a").alias("id")).union(more.select("b")).distinct()
+        up = fallen(lows, more, together) if before is not None and n * 2 > before else component_ids(lows, more, together, n)
+        out = out.join(up.withColumnRenamed("id", "_low"), "_low", "left").select("id", F.coalesce("component", "_low").alias("_low"))
+    return nodes.select("id").join(out, "id", "left").select("id", F.coalesce("_low", "id").alias("component"))
+
+
+def fallen(nodes: DataFrame, edges: DataFrame, together: bool = False) -> DataFrame:
     """id, component: the least id that the edges connect. Labels fall along the edges, and to their labels' labels, which
     halves the way each round. `together`: all nodes of a label fall as far as the first of them, which saves rounds where
     components are large and dense."""
-    ways, label = both_ways(edges).select("a", "b").distinct(), cut(nodes.select("id", F.col("id").alias("component")))
+    ways, label = cut(both_ways(edges).select("a", "b").distinct()), cut(nodes.select("id", F.col("id").alias("component")))
     for _ in range(label.count() + 1):  # a label moves a step a round, at least
         low = label.join(ways, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.min("component").alias("_low"))
         near = label.join(low, "id", "left").select("id", "component", F.least("component", F.coalesce("_low", "component")).alias("_to"))
