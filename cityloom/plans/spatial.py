@@ -148,9 +148,8 @@ UNION ALL SELECT o.n, CASE WHEN f THEN list_append(ps, o.p) ELSE ps END, CASE WH
 FROM g JOIN o ON o.n = g.n + 1, LATERAL (SELECT NOT list_contains(g.ps, o.p) AND NOT list_contains(g.bs, o.b) AS f))
 SELECT p, b, {LONG('score')} AS score FROM g WHERE ok""")
 def greedy_assign(spark, sf_dir):
-    pairs = S.containing(landmarks(spark, sf_dir), outlines(spark, sf_dir))
     score = F.abs(F.col("p_h") - F.col("b_h")) * 1000 + F.least(F.lit(999), F.expr("(p_x - b_x0) * (p_x - b_x0) + (p_y - b_y0) * (p_y - b_y0)"))
-    return S.greedy_pairs(pairs.select(F.col("p_id").alias("p"), F.col("b_id").alias("b"), score.alias("score")))
+    return S.greedy_by_kind(landmarks(spark, sf_dir).select("id", "x", "y", "h"), outlines(spark, sf_dir), score)
 
 
 @query(f"""{WITH}, j AS (SELECT a.id AS a_id, b.id AS b_id, b.use, {INTER} AS i, {A_AREA} AS s, {B_AREA} AS t FROM a JOIN b ON {MEET}),
