@@ -218,6 +218,4 @@ def union_by_tile(spark, sf_dir):
 @query(f"""{WITH}{SQUARES}, left_over AS (SELECT sq.id, count(DISTINCT (sq.sx, sq.sy)) AS m FROM sq SEMI JOIN tq ON sq.sx = tq.sx AND sq.sy = tq.sy GROUP BY 1)
 SELECT a.id, CAST(({A_AREA}) - coalesce(m, 0) AS DOUBLE) AS area FROM a LEFT JOIN left_over l ON a.id = l.id""")
 def difference_area(spark, sf_dir):
-    a, b = footprints(spark, sf_dir), outlines(spark, sf_dir)
-    cut = S.covered_area(a, b).select("id", "covered")
-    return a.join(cut, "id", "left").select("id", (S.area() - F.coalesce("covered", F.lit(0.0))).cast("double").alias("area"))
+    return D.uncovered_area(footprints(spark, sf_dir), outlines(spark, sf_dir))
