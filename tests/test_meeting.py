@@ -1,8 +1,11 @@
 """Areas and counts over boxes that lie on one another, without a look at their pairs."""
 
 import duckdb
+import numpy as np
+import pytest
 import pytest
 
+from cityloom.operators import dense
 from cityloom.plans import registry
 
 
@@ -33,3 +36,36 @@ def test_difference_area(spark, tmp_path):
     """A footprint's row is dealt out once: no join but the two that deal the cells' parts."""
     assert plan(spark, "difference_area").count("Join ") == 2
     same_rows(spark, tmp_path, "difference_area")
+
+
+def brute(a, b, n, least, h, within):
+    x, y = (np.minimum(a[:, None, k + 2], b[None, :, k + 2]) - np.maximum(a[:, None, k], b[None, :, k]) for k in (0, 1))
+    hit = (x > 0) & (y > 0) if within is None else (x >= -within) & (y >= -within)
+    return (hit if least is None else hit & (h[None, :] >= least[:, None])) @ n
+
+
+@pytest.mark.parametrize("marks", [20, 500, 1 << 24])
+@pytest.mark.parametrize("whole", [True, False])
+def test_counts(monkeypatch, marks, whole):
+    monkeypatch.setattr(dense, "MARKS", marks)
+    random = np.random.default_rng(1)
+
+    def boxes(k):
+        place, size = random.uniform(0, 60, (k, 2)), random.uniform(1, 20, (k, 2))
+        return np.c_[place, place + size] if not whole else np.c_[place // 1, place // 1 + size // 1]
+
+    for k, m in ((1, 1), (5, 0), (60, 80), (200, 300)):
+        a, b, n = boxes(k), boxes(m), random.integers(1, 5, m).astype(float)
+        h, least = random.integers(0, 9, m).astype(float), random.integers(-1, 11, k).astype(float)
+        for within in (None, 0, 3):
+            assert (dense.meeting(a, b, n, within=within) == brute(a, b, n, None, h, within)).all()
+            assert (dense.meeting(a, b, n, least, h, within) == brute(a, b, n, least, h, within)).all()
+    distinct, _ = dense.once(boxes(300) // 15)
+    held = [any((r != s).any() and (r[:2] == s[:2]).all() and (s[2:] <= r[2:]).all() for r in distinct) for s in distinct]
+    assert (dense.outer_of(distinct) != held).all()
+
+
+def test_road_clearance(spark, tmp_path):
+    """The outer outlines of a corner are found in the cells, not by a join of all."""
+    assert plan(spark, "road_clearance").count("Join ") == 2
+    same_rows(spark, tmp_path, "road_clearance")
