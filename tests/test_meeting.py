@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import pytest
 
@@ -13,6 +14,10 @@ def plan(spark, name):
     return registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
 
 
+def no_pairs(*_):
+    raise AssertionError("pairs are looked at")
+
+
 def odd_tables(folder):
     """Boxes of a few places in many sizes, some without a size or turned inside out, and one without a key."""
     con = duckdb.connect()
@@ -40,7 +45,7 @@ def test_difference_area(spark, tmp_path):
 
 def brute(a, b, n, least, h, within):
     x, y = (np.minimum(a[:, None, k + 2], b[None, :, k + 2]) - np.maximum(a[:, None, k], b[None, :, k]) for k in (0, 1))
-    hit = (x > 0) & (y > 0) if within is None else (x >= -within) & (y >= -within)
+    hit = (x > 0) & (y > 0) if within is None else (x >= -within[0]) & (y >= -within[1])
     return (hit if least is None else hit & (h[None, :] >= least[:, None])) @ n
 
 
@@ -57,7 +62,7 @@ def test_counts(monkeypatch, marks, whole):
     for k, m in ((1, 1), (5, 0), (60, 80), (200, 300)):
         a, b, n = boxes(k), boxes(m), random.integers(1, 5, m).astype(float)
         h, least = random.integers(0, 9, m).astype(float), random.integers(-1, 11, k).astype(float)
-        for within in (None, 0, 3):
+        for within in (None, (0, 0), (3, 1)):
             assert (dense.meeting(a, b, n, within=within) == brute(a, b, n, None, h, within)).all()
             assert (dense.meeting(a, b, n, least, h, within) == brute(a, b, n, least, h, within)).all()
     distinct, _ = dense.once(boxes(300) // 15)
@@ -69,3 +74,31 @@ def test_road_clearance(spark, tmp_path):
     """The outer outlines of a corner are found in the cells, not by a join of all."""
     assert plan(spark, "road_clearance").count("Join ") == 2
     same_rows(spark, tmp_path, "road_clearance")
+
+
+@pytest.mark.parametrize("reach", range(9))
+def test_steps(reach):
+    for x in range(reach + 3):
+        for y in range(reach + 3):
+            assert sum(sign for sign, i, j in dense.steps(reach) if x <= i and y <= j) == (x * x + y * y <= reach * reach)
+
+
+def test_party_walls(spark, monkeypatch):
+    """No pairs are looked at; where sides are no whole numbers, they give the same rows. The kernel is called here, not by workers."""
+    monkeypatch.setattr(dense, "blocks", no_pairs)
+    random = np.random.default_rng(2)
+    place, size = random.integers(0, 60, (400, 2)), random.integers(1, 20, (400, 2))
+    box, h = np.c_[place, place + size].astype(float), random.integers(0, 9, 400).astype(float)
+    kernel = {}
+    monkeypatch.setattr(dense, "met", lambda a, b, f, *_: kernel.update(f=f))
+    dense.party_walls(spark.createDataFrame([(1, 0, 0, 1, 1, 1)], "id long, x0 long, y0 long, x1 long, y1 long, h long"), 3, 1)
+    rows = pd.DataFrame(box, columns=dense.BOX).assign(id=np.arange(400), h=h, n=1)
+    got = kernel["f"](rows, rows).set_index("id")["neighbours"]
+    x, y = (np.minimum(box[:, None, k + 2], box[None, :, k + 2]) - np.maximum(box[:, None, k], box[None, :, k]) for k in (0, 1))
+    want = ((np.minimum(x, 0) ** 2 + np.minimum(y, 0) ** 2 <= 9) & (h[None, :] >= h[:, None] - 1)).sum(axis=1) - 1
+    assert got.to_dict() == {i: n for i, n in enumerate(want.tolist()) if n}
+    monkeypatch.undo()
+    monkeypatch.setattr(dense, "met", lambda a, b, f, *_: kernel.update(f=f))
+    dense.party_walls(spark.createDataFrame([(1, 0, 0, 1, 1, 1)], "id long, x0 long, y0 long, x1 long, y1 long, h long"), 0.75, 1)
+    rows[dense.BOX] /= 4
+    assert kernel["f"](rows, rows).set_index("id")["neighbours"].sort_index().to_dict() == got.to_dict()
