@@ -102,3 +102,21 @@ def test_party_walls(spark, monkeypatch):
     dense.party_walls(spark.createDataFrame([(1, 0, 0, 1, 1, 1)], "id long, x0 long, y0 long, x1 long, y1 long, h long"), 0.75, 1)
     rows[dense.BOX] /= 4
     assert kernel["f"](rows, rows).set_index("id")["neighbours"].sort_index().to_dict() == got.to_dict()
+
+
+CELLS_KNOWN = ["lend_fields"]
+
+
+@pytest.mark.parametrize("name", CELLS_KNOWN)
+def test_cells_are_known(spark, name):
+    """Few cells are counted once, before, and met by a broadcast: no join of all footprints with their cells."""
+    text = plan(spark, name)
+    assert text.count("strategy=broadcast") == 2 and "max(greatest" not in text
+
+
+@pytest.mark.parametrize("name", CELLS_KNOWN)
+@pytest.mark.parametrize("cells", [0, 4096])
+def test_more_cells(spark, monkeypatch, tmp_path, name, cells):
+    monkeypatch.setattr(dense, "CELLS", cells)
+    monkeypatch.setattr(dense, "PART", 50)
+    same_rows(spark, tmp_path, name)
