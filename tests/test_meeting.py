@@ -104,7 +104,7 @@ def test_party_walls(spark, monkeypatch):
     assert kernel["f"](rows, rows).set_index("id")["neighbours"].sort_index().to_dict() == got.to_dict()
 
 
-CELLS_KNOWN = ["lend_fields"]
+CELLS_KNOWN = ["lend_fields", "parts_to_host"]
 
 
 @pytest.mark.parametrize("name", CELLS_KNOWN)
